@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, substrings
+from . import media, minhash, mixing, ring, substrings, tokens, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -21,11 +21,45 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 @_query
 def op1_minhash(spark, sf_dir):
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), minhash.MinHash(shingle=4, percent=80))
 
 
+@_query
+def op2_ring(spark, sf_dir):
+    return ring.assign(_table(spark, sf_dir, "documents"), ring.Ring(shards=40))
+
+
+@_query
+def op3_urls(spark, sf_dir):
+    return urls.judge(_table(spark, sf_dir, "pages"), urls.RULES)
+
+
+ORACLES["op3_urls"] = urls.ORACLE_SQL
+
+
+@_query
+def op4_mixing(spark, sf_dir):
+    return mixing.mix(_table(spark, sf_dir, "documents"), weights=(5, 2, 1), most=3)
+
+
+@_query
+def op5_tokens(spark, sf_dir):
+    return tokens.encode(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+
+
 @_query
 def op8_substrings(spark, sf_dir):
     return substrings.remove_repeats(_table(spark, sf_dir, "documents"), substrings.Repeats(length=35)).drop("kept_text")
+
+
+@_query
+def op9_media(spark, sf_dir):
+    return media.round_trip(_table(spark, sf_dir, "documents"))
