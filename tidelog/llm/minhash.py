@@ -5,9 +5,10 @@ a table key, so ``tuples ** 2`` tables of ``2 * width`` minima cost only ``2 * t
 other document shares can't be in a shared key, so pairs are formed from shared halves only. Candidates that meet in
 a table are verified on full shingle sets.
 
-Only connectivity is asked for, so a table's bucket is first checked as a star around one member. Members that are
-still in different components are compared with each other afterwards, in a join that counts no pair within a
-component. No bucket is capped and no link between candidates is lost; a pair at the threshold itself meets in no
+Only connectivity is asked for, so a table's bucket is first checked as a star around one member, twice with different
+members. All members that met belong to one cluster. What is still apart in a cluster, everything outside its largest
+component, is then compared with all of it, block against block: tasks hold two blocks of bounded size and emit links,
+never pairs. No bucket is capped and no link between candidates is lost; a pair at the threshold itself meets in no
 table with a probability of about 0.0004 at the defaults, rarer the more alike it is.
 """
 
@@ -16,6 +17,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -183,13 +185,61 @@ def _rejoin(rows: DataFrame, by_key: DataFrame, name: str) -> DataFrame:
     return rows.withColumn("_d", F.xxhash64(F.lit(7), name)).join(by_key.withColumn("_d", F.xxhash64(F.lit(7), "k")), "_d").where(F.col(name) == F.col("k")).drop("_d", "k")
 
 
-def _alike(a: str, b: str, percent: int) -> Column:
-    """Sizes that allow a link, and at least 38 of 64 equal 4-bit minima (52 +- 3 are expected at a similarity of 0.8)."""
+_NEAR, _LIKELY = 22, 38
+
+
+def _equal_minima(a: str, b: str) -> Column:
+    """Of 64 minima, those equal in four bits: 52 +- 3 are expected at a similarity of 0.8, and 22 +- 4 at 0.3."""
     differ = F.lit(0).cast("long")
     for k in range(4):
         differ = differ.bitwiseOR(F.col(f"{a}.s{k}").bitwiseXOR(F.col(f"{b}.s{k}")))
+    return 64 - F.bit_count(differ)
+
+
+def _alike(a: str, b: str, percent: int) -> Column:
+    """Worth a check at once: sizes allow a link, and so do the minima."""
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (F.bit_count(differ) <= 26)
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (_equal_minima(a, b) >= _LIKELY)
+
+
+def _blocks(sets: DataFrame, clusters: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of clusters with several components, dealt into pairs of blocks: (those outside the largest one) x (all)."""
+    rows = clusters.select(F.col("node").alias("rep"), F.col("component").alias("cluster")).join(labels.select(F.col("node").alias("rep"), F.col("component").alias("own")), "rep", "left").withColumn("label", F.coalesce("own", "rep")).drop("own")
+    parts = rows.groupBy("cluster", "label").agg(F.count("*").alias("c"))
+    whole = parts.groupBy("cluster").agg(F.max(F.struct("c", "label")).alias("most"), F.sum("c").alias("n"), F.count("*").alias("parts")).where("parts > 1")
+    size = F.greatest(F.lit(64), F.least(F.lit(512), F.col("n") / 32))
+    whole = whole.select(F.col("cluster").alias("k"), F.col("most.label").alias("largest"), F.ceil(F.col("n") / size).alias("blocks"), F.ceil((F.col("n") - F.col("most.c")) / size).alias("rest"))
+    dealt = _rejoin(rows, whole, "cluster").join(sets, "rep")
+    place = F.xxhash64(F.lit(5), "rep")
+    outer = dealt.where("label <> largest").withColumn("i", F.pmod(place, F.col("rest"))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    every = dealt.withColumn("j", F.pmod(place, F.col("blocks"))).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rest") - 1)))
+    columns = ["cluster", "i", "j", "rep", "label", "shingles"]
+    return outer.select(*columns, F.lit(True).alias("outer")).unionByName(every.select(*columns, F.lit(False).alias("outer")))
+
+
+def _compared(percent: int):
+    def run(block: pd.DataFrame) -> pd.DataFrame:
+        outer, every = block[block["outer"]], block[~block["outer"]]
+        found: list[tuple[int, int]] = []
+        if len(outer) and len(every):
+            sets = [np.frombuffer(s, np.uint64) for s in every["shingles"]]
+            lens = np.array([len(s) for s in sets])
+            values = np.concatenate(sets)
+            owner = np.repeat(np.arange(len(sets)), lens)
+            order = np.argsort(values, kind="stable")
+            values, owner = values[order], owner[order]
+            names, label = every["rep"].to_numpy(), every["label"].to_numpy()
+            for rep, own, raw in zip(outer["rep"].tolist(), outer["label"].tolist(), outer["shingles"], strict=True):
+                x = np.frombuffer(raw, np.uint64)
+                lo, hi = np.searchsorted(values, x, "left"), np.searchsorted(values, x, "right")
+                n = hi - lo
+                at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                both = np.bincount(owner[at], minlength=len(sets))
+                ok = (100 * both >= percent * (len(x) + lens - both)) & (label != own)
+                found += [(rep, int(y)) for y in names[ok]]
+        return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
+
+    return run
 
 
 def near_duplicates(docs: DataFrame, params: MinHash = MinHash(), scratch: Scratch | None = None) -> DataFrame:
@@ -227,26 +277,24 @@ def near_duplicates(docs: DataFrame, params: MinHash = MinHash(), scratch: Scrat
     def labelled(edges: DataFrame) -> DataFrame:
         return scratch.keep(components(edges, scratch), "components")
 
-    edges = spark.createDataFrame([], "u long, v long")
     labels = spark.createDataFrame([], "node long, component long")
+    near = []
     member = F.struct("rep", "n", "s0", "s1", "s2", "s3", "label")
-    for turn in range(4):
+    for turn in range(2):  # a star around one member of each bucket, another member the second time
         now = keyed.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("label", F.coalesce("component", "rep")).drop("component")
-        if turn < 3:  # a star around one member of each bucket, another member each time
-            pick = F.min(F.struct(F.xxhash64(F.lit(turn), "rep").alias("o"), *["rep", "n", "s0", "s1", "s2", "s3", "label"])).alias("lead")
-            lead = now.groupBy("key").agg(pick, F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select(F.col("key").alias("k"), "lead")
-            pairs = _rejoin(now.select("key", member.alias("own")), lead, "key").where("own.label <> lead.label").where(_alike("own", "lead", p.percent)).select(F.least("own.rep", "lead.rep").alias("x"), F.greatest("own.rep", "lead.rep").alias("y"))
-        else:  # whatever is still apart, all against all across components
-            apart = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select(F.col("key").alias("k"))
-            rest = scratch.keep(_rejoin(now.select("key", member.alias("own")), apart, "key"), "apart")
-            other = rest.select(F.col("key").alias("other_key"), F.col("own").alias("lead"))
-            pairs = rest.join(other, (F.col("key") == F.col("other_key")) & (F.col("own.label") < F.col("lead.label")) & _alike("own", "lead", p.percent)).select(F.least("own.rep", "lead.rep").alias("x"), F.greatest("own.rep", "lead.rep").alias("y"))
+        pick = F.min(F.struct(F.xxhash64(F.lit(turn), "rep").alias("o"), *["rep", "n", "s0", "s1", "s2", "s3", "label"])).alias("lead")
+        lead = now.groupBy("key").agg(pick, F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select(F.col("key").alias("k"), "lead")
+        met = _rejoin(now.select("key", member.alias("own")), lead, "key").where("own.label <> lead.label").where(_equal_minima("own", "lead") >= _NEAR)
+        pairs = met.select(F.least("own.rep", "lead.rep").alias("x"), F.greatest("own.rep", "lead.rep").alias("y"), _alike("own", "lead", p.percent).alias("alike"))
         pairs = scratch.keep(pairs.distinct(), f"pairs-{turn}")
-        if pairs.isEmpty():
-            continue
+        near.append(pairs.select(F.col("x").alias("u"), F.col("y").alias("v")))
         stars = labels.select(F.col("node").alias("u"), F.col("component").alias("v"))
-        edges = verified(pairs, f"links-{turn}")
-        labels = labelled(stars.unionByName(edges))
+        labels = labelled(stars.unionByName(verified(pairs.where("alike").select("x", "y"), f"links-{turn}")))
+    stars = labels.select(F.col("node").alias("u"), F.col("component").alias("v"))
+    clusters = labelled(stars.unionByName(near[0]).unionByName(near[1]))
+    more = scratch.keep(_blocks(sets, clusters, labels).groupBy("cluster", "i", "j").applyInPandas(_compared(p.percent), "u long, v long"), "links-rest")
+    if not more.isEmpty():
+        labels = labelled(stars.unionByName(more))
 
     # all members of a class, and all classes of a doc_id, by its label
     of_class = classes.select("g0", "g1", "rep").join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select("g0", "g1", F.coalesce("component", "rep").alias("label"))
