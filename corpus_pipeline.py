@@ -1,15 +1,68 @@
-"""From documents to a mixed and sharded training corpus."""
+"""From documents to a mixed and sharded training corpus, in stages.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows it gets; its result is written as Parquet and read again as
+the next one's docs. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidelog.llm import decontam, minhash, mixing, ring, toxicity
+from tidelog.llm.common import Scratch
+from tidelog.llm.queries import fold
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity classifier rejects go; labels are learnt outside the held-out fold."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.reject(docs, labels, fold(5, 0))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest doc_id stays, once; documents without an id stay."""
+    kept = minhash.near_duplicates(docs, minhash.MinHash(shingle=5, percent=80)).where("kept").select("doc_id").distinct()
+    once = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return once.unionByName(docs.where("doc_id is null"))
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    leaks = decontam.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return docs.join(leaks.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources at their target weights: a document appears as often as the mix takes it."""
+    size = mixing.word_count(F.col("text"))
+    taken = mixing.mix(docs).groupBy("doc_id", "size").agg(F.max("copies").alias("copies"))
+    taken = taken.where("copies > 0").select(F.xxhash64("doc_id", "size").alias("key"), F.col("doc_id").alias("id"), F.col("size").alias("words"), "copies")
+    keyed = docs.withColumn("words", size).withColumn("key", F.xxhash64("doc_id", "words"))
+    met = keyed.join(taken, (keyed.key == taken.key) & keyed.doc_id.eqNullSafe(taken.id) & (keyed.words == taken.words))
+    return met.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select([docs[c] for c in docs.columns])
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document's shard and slot."""
+    return ring.assign(docs, ring.Ring(shards=40))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_copies),
+    ("decontamination", drop_leaks),
+    ("mixing", mix_sources),
+    ("sharding", shard),
+]
 
-STAGES: list = []
+#: The stages learn, hash and iterate; tests compare them with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    scratch = Scratch(spark, "pipeline")
+    for name, stage in STAGES:
+        docs = scratch.keep(stage(spark, docs, sf_dir), name)
     return docs

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, minhash, mixing, quality, ring, substrings, tokens, toxicity, urls
+from . import decontam, media, minhash, mixing, quality, ring, substrings, tokens, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -22,7 +22,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _fold(parts: int, held: int) -> Callable[[Column], Column]:
+def fold(parts: int, held: int) -> Callable[[Column], Column]:
     """True for doc_ids whose checksum, modulo ``parts``, is ``held``; nulls are held out."""
     return lambda c: F.coalesce(F.crc32(c.cast("string").cast("binary")) % parts == held, F.lit(True))
 
@@ -63,19 +63,24 @@ def op5_tokens(spark, sf_dir):
 
 @_query
 def op6_quality(spark, sf_dir):
-    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), _fold(3, 1))
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), fold(3, 1))
 
 
 @_query
 def op7_toxicity(spark, sf_dir):
-    return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), _fold(5, 0))
+    return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), fold(5, 0))
 
 
 @_query
 def op8_substrings(spark, sf_dir):
-    return substrings.remove_repeats(_table(spark, sf_dir, "documents"), substrings.Repeats(length=35)).drop("kept_text")
+    return substrings.remove_repeats(_table(spark, sf_dir, "documents"), substrings.Repeats(length=35))
 
 
 @_query
 def op9_media(spark, sf_dir):
     return media.round_trip(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op10_decontamination(spark, sf_dir):
+    return decontam.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))

@@ -12,6 +12,7 @@ found first: words, or beginnings of words, that set apart the labelled toxic do
 
 from __future__ import annotations
 
+import heapq
 from collections import Counter, defaultdict
 from dataclasses import dataclass
 from itertools import combinations
@@ -39,16 +40,21 @@ class Kernel:
     """rows: most labelled documents of each class to learn from; landmarks: most of each class; evidence: least log-likelihood ratio of a witness."""
 
     rows: int = 6000
-    landmarks: int = 128
+    landmarks: int = 192
     evidence: float = 24.0
     cost: float = 10.0
     seed: int = 3
 
 
-def words_of(text: str) -> list[str]:
-    """Lower-case words without outer punctuation; single characters also joined with what follows."""
+def words_of(text: str) -> Counter:
+    """Lower-case words without outer punctuation, counted; also without inner, and single characters joined with what follows."""
     pieces = text.lower().split()
-    out = {w.strip(_STRIP) or w for w in set(pieces)}
+    out: Counter = Counter()
+    for w, n in Counter(pieces).items():
+        w = w.strip(_STRIP) or w
+        out[w] += n
+        if not w.isalnum() and (bare := "".join(filter(str.isalnum, w))):
+            out[bare] += n
     if any(len(p) == 1 for p in pieces):
         k = 0
         while k < len(pieces):
@@ -58,19 +64,17 @@ def words_of(text: str) -> list[str]:
                     to += 1
                 run = "".join(pieces[k:to])
                 if len(run) > 2:
-                    out.add(run)
+                    out[run] += 1
                 if to < len(pieces):
-                    out.add(run[-1] + pieces[to].strip(_STRIP))
+                    out[run[-1] + pieces[to].strip(_STRIP)] += 1
                 k = to
             else:
                 k += 1
-    found = []
-    for w in out:
-        if len(w) <= _LIMIT:
-            found.append(w)
-        else:
-            found += [w[k : k + _LIMIT] for k in range(0, len(w), _LIMIT - _SPAN4)]
-    return found
+    for w in [w for w in out if len(w) > _LIMIT]:
+        n = out.pop(w)
+        for k in range(0, len(w), _LIMIT - _SPAN4):
+            out[w[k : k + _LIMIT]] += n
+    return out
 
 
 def _codes(words: list[str], width: int) -> np.ndarray:
@@ -128,7 +132,7 @@ class Model:
     key: int = 0
 
     def worst(self, texts: list[str]) -> np.ndarray:
-        """The three greatest margins of words of each text; -2 where there are fewer words."""
+        """The three greatest margins of each text's words, repeated words repeated; -2 where there are fewer words."""
         if self.key not in _cache:
             _cache.clear()
             _cache[self.key] = {}
@@ -143,7 +147,8 @@ class Model:
             for j in range(0, len(new), 1 << 16):
                 known.update(zip(new[j : j + (1 << 16)], margins(new[j : j + (1 << 16)], self.weight, self.bias).tolist(), strict=True))
             for i, ws in enumerate(part):
-                top = sorted(map(known.__getitem__, ws), reverse=True)[:3]
+                top = heapq.nlargest(3, ws, key=known.__getitem__)
+                top = [known[w] for w in top for _ in range(min(3, ws[w]))][:3]
                 out[k + i, : len(top)] = top
         return np.maximum(out, -2.0)
 
@@ -196,8 +201,8 @@ def witnesses(pairs: list[tuple[str, int]], toxic: dict[int, bool], evidence: fl
     return list(found)
 
 
-def spell_out(words: list[str]) -> list[str]:
-    return words + list({STEM + w[:k] for w in words for k in range(4, min(9, len(w)))})
+def spell_out(words) -> list[str]:
+    return list(words) + list({STEM + w[:k] for w in words for k in range(4, min(9, len(w)))})
 
 
 def _kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
@@ -217,11 +222,17 @@ def _kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
     return out
 
 
-def train(positive: list[str], negative: list[str], p: Kernel) -> Model:
+def train(positive: list[str], negative: list[str], p: Kernel, hard: list[str] = ()) -> Model:
     """Squared-hinge machine on Nystroem features, by Newton's method; classes count alike."""
     rng = np.random.default_rng(p.seed)
     pick = lambda words: [words[i] for i in rng.permutation(len(words))[: p.landmarks]]
-    landmarks = pick(positive) + pick(negative)
+    hard = sorted(set(hard))
+    # each insult also with a letter put in, at three places
+    gapped = [w[:k] + chr(97 + rng.integers(26)) + w[k:] for w in positive if len(w) >= 4 for k in sorted(rng.choice(np.arange(1, len(w)), 3, replace=False))]
+    positive = list(dict.fromkeys(positive + [w for w in gapped if w not in set(negative) | set(hard)]))
+    negative = sorted(set(negative) - set(hard)) + hard
+    landmarks = pick(positive) + pick(negative) + [w for w in pick(hard)]
+    landmarks = list(dict.fromkeys(landmarks))
     if not positive or not negative:
         return Model(np.zeros(SIZE, np.float32), -1.0, np.zeros(3))
     words = positive + negative
@@ -232,6 +243,8 @@ def train(positive: list[str], negative: list[str], p: Kernel) -> Model:
     x = np.concatenate([_kernel(words, landmarks) @ root, np.ones((len(words), 1))], 1)
     c = p.cost * np.where(y > 0, len(y) / (2 * len(positive)), len(y) / (2 * len(negative))) / len(y)
     c *= 1000
+    if hard:
+        c[-len(hard) :] *= 20
     beta = np.zeros(x.shape[1])
     ridge = np.eye(x.shape[1])
     ridge[-1, -1] = 1e-3
@@ -263,7 +276,7 @@ def calibrate(model: Model, worst: np.ndarray, toxic: np.ndarray) -> Model:
     x = np.concatenate([worst, np.ones((len(worst), 1))], 1)
     y = toxic.astype(float)
     beta = np.array([1.0, 0.5, 0.5, -1.0])
-    ridge = np.diag([1.0, 1.0, 1.0, 1e-3])
+    ridge = np.diag([0.02, 2.0, 2.0, 1e-3])  # one clear insult should do where labels allow it
     for _ in range(50):
         s = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
         step = np.linalg.solve((x * (s * (1 - s))[:, None]).T @ x + ridge, x.T @ (y - s) - ridge @ beta)
@@ -304,8 +317,11 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from, params: Kernel = Kernel(
         rare = [r.word for r in plain.orderBy(F.xxhash64(F.lit(6), "word")).limit(8000).collect()]
         chosen_words = set(positive)
         negative = sorted({w for w in frequent + rare if w and w not in chosen_words})
+        # clean words that begin like a witness
+        near = plain.where(F.substring("word", 1, 5).isin(sorted({w[:5] for w in positive if len(w) >= 5}))).select("word").collect() if positive else []
+        hard = [r.word for r in near]
         spell.unpersist()
-        model = train(positive, negative, p)
+        model = train(positive, negative, p, hard)
         model.key = hash((tuple(positive), tuple(negative))) & 0x7FFFFFFF
         got = sample.mapInArrow(_worst(model), "doc_id long, toxic int, w0 double, w1 double, w2 double").toPandas()
         if len(got) and positive:
@@ -335,3 +351,20 @@ def classify(docs: DataFrame, labels: DataFrame, held_out, params: Kernel = Kern
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return texts.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def reject(docs: DataFrame, labels: DataFrame, held_out, params: Kernel = Kernel()) -> DataFrame:
+    """The rows of ``docs``, all their columns, that are not predicted toxic. Rows without text stay."""
+    model = fit(docs, labels, lambda c: ~held_out(c), params)
+    handle = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches):
+        m = handle.value
+        for batch in batches:
+            for row in range(0, batch.num_rows, 1024):
+                part = batch.slice(row, 1024)
+                s = m.score(m.worst([t or "" for t in part.column(at).to_pylist()]))
+                yield part.filter(pa.array(s < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
