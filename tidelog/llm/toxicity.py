@@ -228,8 +228,8 @@ def train(positive: list[str], negative: list[str], p: Kernel, hard: list[str] =
     pick = lambda words: [words[i] for i in rng.permutation(len(words))[: p.landmarks]]
     hard = sorted(set(hard))
     # each insult also with a letter put in, at three places
-    gapped = [w[:k] + chr(97 + rng.integers(26)) + w[k:] for w in positive if len(w) >= 4 for k in sorted(rng.choice(np.arange(1, len(w)), 3, replace=False))]
-    positive = list(dict.fromkeys(positive + [w for w in gapped if w not in set(negative) | set(hard)]))
+    plain = set(negative)
+    positive = list(dict.fromkeys(positive + [w for w in gapped(positive, 3, rng) if w not in plain]))
     negative = sorted(set(negative) - set(hard)) + hard
     landmarks = pick(positive) + pick(negative) + [w for w in pick(hard)]
     landmarks = list(dict.fromkeys(landmarks))
@@ -271,15 +271,27 @@ def _worst(model: Model):
     return run
 
 
-def calibrate(model: Model, worst: np.ndarray, toxic: np.ndarray) -> Model:
-    """Logistic regression of documents' labels on their three worst margins."""
+def gapped(words: list[str], times: int, rng: np.random.Generator) -> list[str]:
+    """Words of four characters or more with a letter put in, at up to ``times`` places each."""
+    return [w[:k] + chr(97 + rng.integers(26)) + w[k:] for w in words if len(w) >= 4 for k in sorted(rng.choice(np.arange(1, len(w)), min(times, len(w) - 1), replace=False))]
+
+
+def calibrate(model: Model, worst: np.ndarray, toxic: np.ndarray, insults: list[str] = ()) -> Model:
+    """Logistic regression of documents' labels on their three worst margins; gapped insults count as toxic documents."""
+    share = np.ones(len(worst))
+    if made := gapped(list(insults), 3, np.random.default_rng(9)):
+        m = margins(made, model.weight, model.bias).astype(float)
+        plain = np.median(worst[toxic == 0], axis=0) if (toxic == 0).any() else np.full(3, -1.0)
+        worst = np.concatenate([worst, np.stack([m, np.minimum(m, plain[0]), np.minimum(m, plain[1])], 1)])
+        toxic = np.concatenate([toxic, np.ones(len(m), toxic.dtype)])
+        share = np.concatenate([share, np.full(len(m), 0.1)])
     x = np.concatenate([worst, np.ones((len(worst), 1))], 1)
     y = toxic.astype(float)
     beta = np.array([1.0, 0.5, 0.5, -1.0])
     ridge = np.diag([0.02, 2.0, 2.0, 1e-3])  # one clear insult should do where labels allow it
     for _ in range(50):
         s = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        step = np.linalg.solve((x * (s * (1 - s))[:, None]).T @ x + ridge, x.T @ (y - s) - ridge @ beta)
+        step = np.linalg.solve((x * (share * s * (1 - s))[:, None]).T @ x + ridge, x.T @ (share * (y - s)) - ridge @ beta)
         size = np.abs(step).max()
         beta = beta + step * min(1.0, 2.0 / max(size, 1e-12))
         if size < 1e-9:
@@ -325,7 +337,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from, params: Kernel = Kernel(
         model.key = hash((tuple(positive), tuple(negative))) & 0x7FFFFFFF
         got = sample.mapInArrow(_worst(model), "doc_id long, toxic int, w0 double, w1 double, w2 double").toPandas()
         if len(got) and positive:
-            calibrate(model, got[["w0", "w1", "w2"]].to_numpy(), got["toxic"].to_numpy())
+            calibrate(model, got[["w0", "w1", "w2"]].to_numpy(), got["toxic"].to_numpy(), positive)
         return model
     finally:
         sample.unpersist()
