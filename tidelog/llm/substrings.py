@@ -4,14 +4,16 @@ A suffix is a word position of a document. Each window of ``length`` words picks
 runs as its anchor, so equal windows have equal anchors at equal distances, and only anchored suffixes enter the tree.
 Its nodes are groups of suffixes with a common prefix, named by the prefix's fingerprint. A prefix of ``prefix`` words
 splits the anchored suffixes into groups; groups of one have no inner node below and end there. The others are split by
-a longer prefix, the whole window with its anchor's fingerprint, which makes groups as small as the repeats themselves;
-a node of that depth with two or more suffixes is a deep internal node, and its suffixes are starts of repeats.
+longer prefixes as needed: the whole surroundings of the anchor where these occur more than once, else the window with its
+anchor's fingerprint. A node as deep as a window with two or more suffixes is a deep internal node, and its suffixes are
+starts of repeats.
 Nodes are counted with partial aggregates and joined back to their suffixes, so that no group is ever gathered in one task.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,9 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, mix, run_hashes, text_blocks, word_hashes
+from .common import Scratch, mix, powers, run_hashes, text_blocks, word_hashes
 
 _U = np.uint64
+_SPAN = 0xC2B2AE3D27D4EB4F  # odd
 
 
 @dataclass(frozen=True)
@@ -29,7 +32,7 @@ class Repeats:
     """length: words in a window; prefix: words in an anchor."""
 
     length: int = 50
-    prefix: int = 12
+    prefix: int = 6
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -60,18 +63,34 @@ def _anchored(words: np.ndarray, at: np.ndarray, p: Repeats):
     return start[ok], best[ok], runs
 
 
+def _ranges(anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Windows with one anchor stand side by side: index of the first and of the last of each such run."""
+    first = np.flatnonzero(np.concatenate([[True], anchors[1:] != anchors[:-1]]))
+    return first, np.concatenate([first[1:], [len(anchors)]]) - 1
+
+
+def _span_hashes(words: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Fingerprints of the words from lo to hi - 1."""
+    total = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * powers(_SPAN, len(words)), out=total[1:])
+    return mix((total[hi] - total[lo]) * powers(pow(_SPAN, -1, 1 << 64), len(words))[lo] + (hi - lo).astype(np.uint64) * _U(_SPAN))
+
+
 def _anchors(p: Repeats):
     def run(batches):
         for batch in batches:
             ids, keys = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             for row, data, offsets in text_blocks(batch.column(2)):
                 words, at = word_hashes(data, offsets, fold=False)
-                _, anchors, runs = _anchored(words, at, p)
+                start, anchors, runs = _anchored(words, at, p)
                 if not len(anchors):
                     continue
-                a = np.unique(anchors)
+                first, last = _ranges(anchors)
+                a = anchors[first]
+                context = mix(_span_hashes(words, start[first], start[last] + p.length) + (a - start[first]).astype(np.uint64))
                 doc = np.searchsorted(at, a, "right") - 1
-                yield pa.RecordBatch.from_arrays([pa.array(runs[a].view(np.int64)), pa.array(ids[row + doc]), pa.array(keys[row + doc]), pa.array((a - at[doc]).astype(np.int32))], ["h", "dk", "tk", "pos"])
+                place = (keys[row + doc] << np.int64(32)) | (start[first] - at[doc])
+                yield pa.RecordBatch.from_arrays([pa.array(runs[a].view(np.int64)), pa.array(context.view(np.int64)), pa.array(ids[row + doc]), pa.array(place), pa.array((last - first + 1).astype(np.int16))], ["h", "c", "dk", "tp", "n"])
 
     return run
 
@@ -89,68 +108,112 @@ def _windows(p: Repeats):
                 hot = np.zeros(len(words) + 1, bool)
                 for i in range(len(offsets) - 1):
                     hot[shared[row + i].values.to_numpy().astype(np.int64) + at[i]] = True
-                keep = hot[anchors]
+                first, last = _ranges(anchors)
+                keep = np.repeat(hot[start[first]], last - first + 1)
                 start, anchors = start[keep], anchors[keep]
                 if not len(start):
                     continue
                 whole = run_hashes(words, p.length)[start]
                 more = mix(runs[anchors] + whole) >> _U(33)
                 doc = np.searchsorted(at, start, "right") - 1
-                yield pa.RecordBatch.from_arrays([pa.array(whole.view(np.int64)), pa.array(more.astype(np.int32)), pa.array(ids[row + doc]), pa.array(keys[row + doc]), pa.array((start - at[doc]).astype(np.int32))], ["w", "x", "dk", "tk", "pos"])
+                place = (keys[row + doc] << np.int64(32)) | (start - at[doc])
+                yield pa.RecordBatch.from_arrays([pa.array(whole.view(np.int64)), pa.array(more.astype(np.int32)), pa.array(ids[row + doc]), pa.array(place)], ["w", "x", "dk", "tp"])
 
     return run
 
 
-def _cut(p: Repeats):
+def _cut(p: Repeats, with_text: bool):
+    """Columns: doc_id, dk, tk, raw, and the repeated windows as starts and numbers of neighbours (or no such columns)."""
+
     def run(batches):
         for batch in batches:
             n = batch.num_rows
             words, removed, kept, digest = np.zeros(n, np.int64), np.zeros(n, np.int64), [], []
-            texts, marks = batch.column(1), batch.column(2)
+            texts = batch.column(3)
+            marks = batch.column(4) if batch.num_columns > 4 else None
             for i in range(n):
                 t = texts[i]
                 w = (t.as_buffer().to_pybytes() if t.is_valid else b"").split()  # bytes.split() knows the same separators
                 words[i] = len(w)
-                m = marks[i]
-                if m.is_valid and len(m.values):
+                if marks is not None and marks[i].is_valid:
                     change = np.zeros(len(w) + 1, np.int32)
-                    s = np.unique(m.values.to_numpy())
-                    change[s] += 1
-                    change[s + p.length] -= 1
+                    s = marks[i].values
+                    begin, count = s.field(0).to_numpy(), s.field(1).to_numpy()
+                    np.add.at(change, begin, 1)
+                    np.add.at(change, begin + count - 1 + p.length, -1)
                     gone = np.cumsum(change[:-1]) > 0
                     removed[i] = gone.sum()
                     w = [w[k] for k in np.flatnonzero(~gone)]
                 joined = b" ".join(w)
                 digest.append(hashlib.sha256(joined).hexdigest())
-                kept.append(joined)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words), pa.array(removed), pa.array(digest), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
+                if with_text:
+                    kept.append(joined)
+            columns = [*(batch.column(k) for k in range(3)), pa.array(words), pa.array(removed), pa.array(digest, pa.string())]
+            names = ["doc_id", "dk", "tk", "n_words", "n_removed", "kept_sha256"]
+            if with_text:
+                columns.append(pa.array(kept, pa.binary()).cast(pa.string()))
+                names.append("kept_text")
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 
 
-def remove_repeats(docs: DataFrame, params: Repeats = Repeats(), scratch: Scratch | None = None) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, n_words, n_removed, kept_sha256, kept_text.
+_OUT = "doc_id long, dk long, tk int, n_words long, n_removed long, kept_sha256 string"
+
+
+def _again(key: str):
+    """The key under another name: both sides of a join are then exchanged, so a hot key can be split at run time."""
+    return F.col(key).bitwiseXOR(F.lit(0x5A5A5A5A5A5A5A5A))
+
+
+def remove_repeats(docs: DataFrame, params: Repeats = Repeats(), with_text: bool = False, scratch: Scratch | None = None) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text): doc_id, n_words, n_removed, kept_sha256, and kept_text if asked for.
 
     A word goes if a window of ``length`` words over it starts anywhere else too, in the same text or another; every
     occurrence goes. Null and empty texts have no words. Rows with the same doc_id and text are each other's repeats.
     Texts shorter than a window lose nothing. The separators between kept words become one space each.
+
+    Steps: anchors whose prefix occurs once drop out. Of the others, those whose whole surroundings (all windows they
+    anchor) occur twice are repeats as they are. The rest, and one of each such group, expand into windows.
     """
-    scratch = scratch or Scratch(docs.sparkSession, "repeats")
+    spark = docs.sparkSession
+    scratch = scratch or Scratch(spark, "repeats")
     p = params
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # documents are told apart by id and text; marks depend on the text alone, so a meeting of both can't do harm
-    keyed = texts.select(F.coalesce("doc_id", F.lit(-1).cast("long")).alias("dk"), F.coalesce(F.xxhash64("text"), F.lit(0).cast("long")).alias("tk"), "text", "doc_id")
-    slim = keyed.select("dk", "tk", "text")
-    anchors = slim.mapInArrow(_anchors(p), "h long, dk long, tk long, pos int")
-    anchors = scratch.keep(anchors, "anchors")
-    inner = anchors.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select(F.col("h").alias("k"))
-    shared = anchors.withColumn("d", F.xxhash64(F.lit(7), "h")).join(inner.withColumn("d", F.xxhash64(F.lit(7), "k")), "d", "left_semi")
-    by_doc = shared.groupBy("dk", "tk").agg(F.collect_set("pos").alias("anchors"))
-    windows = slim.join(by_doc, ["dk", "tk"]).select("dk", "tk", "text", "anchors").mapInArrow(_windows(p), "w long, x int, dk long, tk long, pos int")
+    # rows are told apart by id and a checksum of the text
+    keyed = texts.select("doc_id", F.coalesce("doc_id", F.lit(-1).cast("long")).alias("dk"), F.shiftright(F.xxhash64("text"), 32).cast("int").alias("tk"), "text")
+    raw = keyed.withColumn("text", F.encode("text", "UTF-8"))
+    slim = keyed.select("dk", F.col("tk").cast("long").alias("tk"), "text")
+
+    anchors = scratch.keep(slim.mapInArrow(_anchors(p), "h long, c long, dk long, tp long, n short"), "anchors")
+    inner = anchors.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select(_again("h").alias("g"))
+    met = scratch.keep(anchors.withColumn("g", _again("h")).drop("h").join(inner, "g", "left_semi"), "shared")
+    contexts = scratch.keep(met.groupBy("c").agg(F.count("*").alias("k"), F.min(F.struct("dk", "tp", "g")).alias("one")), "contexts")
+    twice = contexts.where("k > 1").select(_again("c").alias("e"))
+    whole = met.withColumn("e", _again("c")).join(twice, "e", "left_semi").select("dk", "tp", F.col("n").cast("int").alias("n"))
+    several = contexts.groupBy("one.g").agg(F.count("*").alias("k")).where("k > 1").select(_again("g").alias("f"))
+    open_ = contexts.select("one.*").withColumn("f", _again("g")).join(several, "f", "left_semi").select("dk", "tp")
+    tk, pos = F.shiftright("tp", 32).cast("int"), F.col("tp").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
+
+    # texts with any shared anchor, laid out by document once: what follows joins them without moving them
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    wanted = met.select("dk", tk.alias("tk")).distinct()
+    table = "tidelog_repeats_" + uuid.uuid4().hex
+    some = keyed.drop("doc_id").join(wanted, ["dk", "tk"], "left_semi").dropDuplicates(["dk", "tk"])
+    some.write.bucketBy(n, "dk", "tk").option("compression", "zstd").option("path", scratch.path("texts")).saveAsTable(table)
+    some = spark.table(table)
+
+    by_doc = open_.select("dk", tk.alias("tk"), pos.alias("pos")).groupBy("dk", "tk").agg(F.collect_set("pos").alias("anchors"))
+    windows = some.join(by_doc, ["dk", "tk"]).select("dk", F.col("tk").cast("long").alias("tk"), "text", "anchors").mapInArrow(_windows(p), "w long, x int, dk long, tp long")
     windows = scratch.keep(windows, "windows")
-    deep = windows.groupBy("w", "x").agg(F.count("*").alias("c")).where("c > 1").select(F.col("w").alias("kw"), F.col("x").alias("kx"))
-    left, right = windows.withColumn("d", F.xxhash64(F.lit(7), "w", "x")), deep.withColumn("e", F.xxhash64(F.lit(7), "kw", "kx"))
-    found = left.join(right, (F.col("d") == F.col("e")) & (F.col("w") == F.col("kw")) & (F.col("x") == F.col("kx")), "left_semi")
-    marks = found.groupBy("dk", "tk").agg(F.collect_set("pos").alias("starts"))
-    marked = keyed.join(marks, ["dk", "tk"], "left").select("doc_id", F.encode("text", "UTF-8").alias("text"), "starts")
-    return marked.mapInArrow(_cut(p), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    deep = windows.groupBy("w", "x").agg(F.count("*").alias("k")).where("k > 1").select(_again("w").alias("v"), F.col("x").alias("y"))
+    left = windows.withColumn("v", _again("w")).drop("w")
+    single = left.join(deep, (left.v == deep.v) & (F.col("x") == F.col("y")), "left_semi").select("dk", "tp", F.lit(1).alias("n"))
+    marks = whole.unionByName(single).select("dk", tk.alias("tk"), F.struct(pos.alias("pos"), "n").alias("m")).groupBy("dk", "tk").agg(F.collect_list("m").alias("marks"))
+    if with_text:
+        joined = raw.join(marks, ["dk", "tk"], "left").select("doc_id", "dk", "tk", "text", "marks")
+        return joined.mapInArrow(_cut(p, True), _OUT + ", kept_text string").drop("dk", "tk")
+    cut = some.join(marks, ["dk", "tk"]).select(F.col("dk").alias("doc_id"), "dk", "tk", F.encode("text", "UTF-8").alias("text"), "marks").mapInArrow(_cut(p, False), _OUT)
+    cut = cut.select("dk", "tk", F.col("n_removed").alias("gone"), F.col("kept_sha256").alias("left"))
+    base = raw.select("doc_id", "dk", "tk", "text").mapInArrow(_cut(p, False), _OUT)
+    return base.join(cut, ["dk", "tk"], "left").select("doc_id", "n_words", F.coalesce("gone", "n_removed").alias("n_removed"), F.coalesce("left", "kept_sha256").alias("kept_sha256"))
