@@ -46,7 +46,7 @@ RELATIONS = {
     "produced": "SELECT part, record_offset, concat('k', cast(event_id AS varchar(20))) AS op_key, record_timestamp AS op_time, user_id % 8 AS process, concat('n', cast(event_id % 3 AS varchar(4))) AS node, event_id % 11 <> 4 AS ok FROM ev_log",
     "drained": "SELECT part, record_offset, op_key, op_time FROM produced WHERE ok AND record_offset % 89 <> 7 UNION ALL SELECT part, record_offset, op_key, op_time FROM produced WHERE ok AND record_offset % 101 = 5 UNION ALL SELECT part, record_offset + 1000000 AS record_offset, concat(op_key, 'g') AS op_key, op_time FROM produced WHERE record_offset % 307 = 9",
     "windows": "SELECT event_type AS topic, part, record_timestamp $DIV 21600000 AS w, cast(count(*) AS bigint) AS produced, cast(sum(CASE WHEN event_id % 19 = 0 THEN 0 ELSE 1 END) AS bigint) AS consumed, cast(sum(CASE WHEN event_id % 53 = 0 THEN 1 ELSE 0 END) AS bigint) AS gaps, cast(sum(CASE WHEN event_id % 41 = 0 THEN 1 ELSE 0 END) AS bigint) AS seq_errors, cast(sum(CASE WHEN event_id % 37 = 0 THEN 1 ELSE 0 END) AS bigint) AS decode_errors, min(record_timestamp) AS start_ms, max(record_timestamp) AS end_ms, concat('n', cast(part % 3 AS varchar(4))) AS node FROM ev_log GROUP BY event_type, part, record_timestamp $DIV 21600000",
-    "commits": "SELECT concat('g', cast(user_id % 3 AS varchar(4))) AS grp, event_type AS topic, part, record_offset AS committed, event_id AS commit_ord FROM ev_log WHERE event_id % 5 = 0",
+    "commits": "SELECT concat('g', cast(user_id % 3 AS varchar(4))) AS grp, event_type AS topic, part, record_offset AS committed, ((event_id * 37) % 1009) * 1000000 + event_id AS commit_ord FROM ev_log WHERE event_id % 5 = 0",
     "observed": "SELECT part, event_id AS ord, user_id % 4 AS process, concat('n', cast(event_id % 3 AS varchar(4))) AS node, record_offset - (CASE WHEN event_id % 17 = 0 THEN 40 ELSE 0 END) AS hw FROM ev_log",
 }
 
