@@ -35,8 +35,9 @@ def rule_table(spark: SparkSession, rules=RULES) -> DataFrame:
     for host, path, verdict in rules:
         if not host or not path.startswith("/") or not path.endswith("/") or verdict not in ("allow", "block"):
             raise ValueError(f"not a rule: {host}{path} {verdict}")
-    values = ", ".join(["(?, ?, ?)"] * len(rules))
-    table = spark.sql(f"SELECT * FROM VALUES {values} AS t(host, path, verdict)", args=[x for rule in rules for x in rule])
+    values = ", ".join(f"(:h{k}, :p{k}, :v{k})" for k in range(len(rules)))
+    args = {f"{c}{k}": x for k, rule in enumerate(rules) for c, x in zip("hpv", rule, strict=True)}
+    table = spark.sql(f"SELECT * FROM VALUES {values} AS t(host, path, verdict)", args=args)
     return table.select(F.concat("host", "path").alias("rule"), "verdict", F.sha2(F.concat("host", "path"), 256).alias("digest"))
 
 
