@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
-_MODULES = tuple(f"tidelog.plans.{m}_queries" for m in ("log", "scan", "scalar", "aggregate", "checker", "maintenance", "decode", "stream"))
+_MODULES = tuple(f"tidelog.plans.{m}_queries" for m in ("log", "scan", "scalar", "aggregate", "checker", "maintenance", "decode", "stream", "lifecycle"))
 
 
 def query(name: str, oracle: str | None = None):
