@@ -15,10 +15,12 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -26,9 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-_CACHE_WORDS = 400_000
-_cache: dict[str, dict[str, bytes]] = {}
-_tokenizers: dict[str, object] = {}
+_CACHE_PIECES, _CACHE_RUNS = 1_000_000, 600_000
+_encoders: dict[str, Encoder] = {}
 
 
 @dataclass(frozen=True)
@@ -36,35 +37,77 @@ class Grammar:
     """block_tokens: ids in a block, about; rounds of replacement; least: occurrences that earn a rule; end: id after each document."""
 
     block_tokens: int = 1 << 20
-    rounds: int = 6
+    rounds: int = 4
     least: int = 16
     end: int = 2
 
 
+def _byte_letters() -> dict[int, str]:
+    """Letters that stand for bytes in byte-level vocabularies: printable ones for themselves, the others from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+_LETTERS = _byte_letters()
+#: The tokenizer's own pattern for runs, within lower-case text without white space.
+_RUNS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: ASCII without white space, and Latin letters that are their own composed form and lower-case letter by letter.
+_PLAIN = regex.compile("[!-~\xc0-\xd6\xd8-\xf6\xf8-\xff]*")
+
+
+class Encoder:
+    """Ids of whole texts by the tokenizers library, remembering the ids of pieces between white space and of their runs.
+
+    No token of this tokenizer spans white space or two runs, so a piece's ids are those of its runs, which the
+    library's model gives. Pieces with other than plain Latin text, or with a special token's opening, go through the
+    library's whole encoder.
+    """
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.pieces: dict[str, bytes] = {}
+        self.runs: dict[str, bytes] = {}
+
+    def _piece(self, piece: str) -> bytes:
+        if not _PLAIN.fullmatch(piece) or "<|" in piece:
+            return array("H", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
+        out = []
+        for run in _RUNS.findall(piece.lower()):
+            got = self.runs.get(run)
+            if got is None:
+                letters = run if run.isascii() else "".join(map(_LETTERS.__getitem__, run.encode()))
+                got = self.runs[run] = array("H", [t.id for t in self.model.tokenize(letters)]).tobytes()
+            out.append(got)
+        return b"".join(out)
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        known, out = self.pieces, []
+        for text in texts:
+            pieces = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+            got = list(map(known.get, pieces))
+            if None in got:
+                for k, x in enumerate(got):
+                    if x is None:
+                        got[k] = known.get(pieces[k])
+                        if got[k] is None:
+                            got[k] = known[pieces[k]] = self._piece(pieces[k])
+                if len(known) > _CACHE_PIECES:
+                    known.clear()
+                if len(self.runs) > _CACHE_RUNS:
+                    self.runs.clear()
+            out.append(np.frombuffer(b"".join(got), np.uint16))
+        return out
+
+
 def encode_words(tokenizer_path: str, texts: list[str]) -> list[np.ndarray]:
-    """Ids of whole texts. Ids of pieces between spaces and line ends are kept, as no token of this tokenizer spans them."""
-    from tokenizers import Tokenizer
-
-    tokenizer = _tokenizers.get(tokenizer_path)
-    if tokenizer is None:
-        tokenizer = _tokenizers[tokenizer_path] = Tokenizer.from_file(tokenizer_path)
-    known = _cache.setdefault(tokenizer_path, {})
-    out = []
-    for text in texts:
-        pieces = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        got = [known.get(x) for x in pieces]
-        if None in got:
-            new = list({x for x, g in zip(pieces, got, strict=True) if g is None})
-            if len(known) > _CACHE_WORDS:
-                known.clear()
-                new = list(set(pieces))
-            for k in range(0, len(new), 4096):
-                part = new[k : k + 4096]
-                for x, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                    known[x] = np.array(e.ids, np.uint16).tobytes()
-            got = [known[x] for x in pieces]
-        out.append(np.frombuffer(b"".join(got), np.uint16))
-    return out
+    encoder = _encoders.get(tokenizer_path)
+    if encoder is None:
+        encoder = _encoders[tokenizer_path] = Encoder(tokenizer_path)
+    return encoder.encode(texts)
 
 
 def repair(ids: np.ndarray, ends: np.ndarray, first: int, p: Grammar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -72,7 +115,7 @@ def repair(ids: np.ndarray, ends: np.ndarray, first: int, p: Grammar) -> tuple[n
     x = ids.astype(np.uint16)
     rules: list[np.ndarray] = []
     room = (1 << 16) - first
-    bits = 20
+    bits = 18
     for _ in range(p.rounds):
         if len(x) < 2 or room <= 0:
             break
