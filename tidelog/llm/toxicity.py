@@ -39,7 +39,7 @@ _cache: dict[int, dict[str, float]] = {}
 class Kernel:
     """rows: most labelled documents of each class to learn from; landmarks: most of each class; evidence: least log-likelihood ratio of a witness."""
 
-    rows: int = 6000
+    rows: int = 3000
     landmarks: int = 192
     evidence: float = 24.0
     cost: float = 10.0
@@ -156,13 +156,12 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(worst @ self.slope + self.middle, -30, 30)))
 
 
-def witnesses(pairs: list[tuple[str, int]], toxic: dict[int, bool], evidence: float, twins: int = 8) -> list[str]:
+def witnesses(pairs: list[tuple[str, int]], toxic: dict[int, bool], evidence: float, twins: int = 8) -> tuple[list[str], list[str]]:
     """Words that set toxic documents apart, from pairs of word (or marked beginning) and document.
 
     First come words with enough evidence of their own. Near copies of one toxic document lend each other's words
     evidence too, but then many words have the same documents; words with more than ``twins`` such are left out. Then
-    beginnings are chosen, the best first, for the documents that no word explains: the words that start so and stand
-    in toxic documents only are witnesses as well.
+    beginnings are chosen, the best first, for the documents that no word explains.
     """
     having: dict[str, set[int]] = defaultdict(set)
     of: dict[int, list[str]] = defaultdict(list)
@@ -171,7 +170,7 @@ def witnesses(pairs: list[tuple[str, int]], toxic: dict[int, bool], evidence: fl
         of[d].append(w)
     bad, all_ = sum(toxic.values()), len(toxic)
     if not bad or bad == all_:
-        return []
+        return [], []
     q = bad / all_
 
     def ratio(ds: set[int]) -> float:
@@ -186,19 +185,19 @@ def witnesses(pairs: list[tuple[str, int]], toxic: dict[int, bool], evidence: fl
         met = Counter(x for d in ds for x in of[d] if not x.startswith(STEM))
         return sum(2 * c >= len(ds) + len(having[x]) - c for x, c in met.items() if x != w) <= twins
 
-    found = {w: None for w in sorted(having) if not w.startswith(STEM) and ratio(having[w]) >= evidence and lonely(w)}
+    found = [w for w in sorted(having) if not w.startswith(STEM) and ratio(having[w]) >= evidence and lonely(w)]
     explained = {d for w in found for d in having[w]}
     left = {w: ds - explained for w, ds in having.items() if w.startswith(STEM)}
     left = {w: ds for w, ds in left.items() if ratio(ds) >= evidence and lonely(w)}
-    clean = {w for w, ds in having.items() if not all(toxic[d] for d in ds)}
+    stems = []
     while left:
         w = max(left, key=lambda x: (ratio(left[x]), x))
         if ratio(left[w]) < evidence:
             break
         gone = left.pop(w)
         left = {x: ds - gone for x, ds in left.items()}
-        found |= dict.fromkeys(x for x in sorted(having) if x.startswith(w[1:]) and x not in clean)
-    return list(found)
+        stems.append(w[1:])
+    return found, stems
 
 
 def spell_out(words) -> list[str]:
@@ -320,18 +319,26 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from, params: Kernel = Kernel(
 
         spell = sample.mapInArrow(spelled, "doc_id long, word string").persist()
         by_word = spell.join(F.broadcast(sample.select("doc_id", "toxic")), "doc_id").groupBy("word").agg(F.count("*").alias("n"), F.sum("toxic").cast("long").alias("k"))
-        q = max(1, sum(toxic.values())) / max(1, len(toxic))
-        likely = by_word.where((F.col("k") > 2 * q * F.col("n")) & (F.col("k") >= 0.6 * F.col("n"))).where((F.col("k") >= 4) | ((F.col("k") >= 2) & ~F.col("word").startswith(STEM))).select("word")
-        pairs = [(r.word, r.doc_id) for r in spell.join(likely, "word").select("word", "doc_id").collect()]
-        positive = witnesses(pairs, toxic, p.evidence)
+        q = min(0.99, max(1, sum(toxic.values())) / max(1, len(toxic)))
+        least = max(2, int(p.evidence / (2 * np.log(1 / q))))  # fewer toxic documents can't be evidence enough
+        likely = by_word.where((F.col("k") >= least) & (F.col("k") >= 0.8 * F.col("n")) & (F.col("k") > q * F.col("n"))).select("word")
+        pairs = spell.join(F.broadcast(likely), "word").select("word", "doc_id").toPandas()  # bounded by the sample
+        positive, stems = witnesses(list(zip(pairs["word"].tolist(), pairs["doc_id"].tolist(), strict=True)), toxic, p.evidence)
+        del pairs
+        if stems:
+            starts = F.lit(False)
+            for s in stems:
+                starts = starts | F.startswith("word", F.lit(s))
+            ends = by_word.where("k = n").where(starts).select("word").limit(4000).toPandas()["word"].tolist()
+            positive = sorted({*positive, *ends})
         plain = by_word.where("k < n").where(~F.col("word").startswith(STEM))
-        frequent = [r.word for r in plain.orderBy(F.desc("n"), "word").limit(4000).collect()]
-        rare = [r.word for r in plain.orderBy(F.xxhash64(F.lit(6), "word")).limit(8000).collect()]
+        frequent = plain.orderBy(F.desc("n"), "word").limit(3000).toPandas()["word"].tolist()
+        rare = plain.orderBy(F.xxhash64(F.lit(6), "word")).limit(6000).toPandas()["word"].tolist()
         chosen_words = set(positive)
         negative = sorted({w for w in frequent + rare if w and w not in chosen_words})
         # clean words that begin like a witness
-        near = plain.where(F.substring("word", 1, 5).isin(sorted({w[:5] for w in positive if len(w) >= 5}))).select("word").collect() if positive else []
-        hard = [r.word for r in near]
+        near = plain.where(F.substring("word", 1, 5).isin(sorted({w[:5] for w in positive if len(w) >= 5}))).select("word").limit(2000).toPandas()["word"].tolist() if positive else []
+        hard = near
         spell.unpersist()
         model = train(positive, negative, p, hard)
         model.key = hash((tuple(positive), tuple(negative))) & 0x7FFFFFFF
