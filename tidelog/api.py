@@ -19,6 +19,7 @@ from .operators import maintenance, scan
 from .sources.store import Conflict, Store
 from .sources.table import TRIES, ExportTable
 from .sources.values import Field, decoded
+from .sources.workers import make_importable
 from .streaming import export
 
 LOG_SCHEMA = "part int, record_offset long, record_timestamp long, key binary, value binary, headers map<string,string>"
@@ -39,6 +40,7 @@ class SchemaInvalid(ValueError):
 
 class LogEngine:
     def __init__(self, spark: SparkSession, root: str, clock: Callable[[], int] = lambda: int(time.time() * 1000)):
+        make_importable(spark)
         self.spark, self.root, self.clock = spark, root.rstrip("/"), clock
         self.store = Store(spark, root)
 
