@@ -14,13 +14,18 @@ from .fixtures import with_clause as w
 
 _FIELDS = [Field("id", "int64", "$.id"), Field("kind", "string", "$.event.kind"), Field("score", "float64", "$.score", True), Field("even", "bool", "$.even")]
 _FLAT = [Field("id", "int64", "$.id"), Field("kind", "string", "$.kind"), Field("score", "float64", "$.score", True), Field("even", "bool", "$.even"), Field("at", "timestamp", "$.at")]
-_JSON = F.concat(F.lit('{"id":'), F.expr("CASE event_id % 11 WHEN 0 THEN concat('\"', event_id, '\"') WHEN 5 THEN 'true' ELSE cast(event_id AS string) END"), F.lit(',"event":{"kind":"'), F.col("event_type"), F.lit('","more":[1,{"a":null}]},"score":'), F.expr("CASE WHEN event_id % 3 = 0 THEN 'null' ELSE '1.5' END"), F.expr("CASE WHEN event_id % 13 = 7 THEN '' ELSE concat(',\"even\":', cast(event_id % 2 = 0 AS string)) END"), F.lit("}"), F.expr("CASE WHEN event_id % 17 = 9 THEN ' x' ELSE '' END"))
+
+
+def _json_text():
+    return F.concat(F.lit('{"id":'), F.expr("CASE event_id % 11 WHEN 0 THEN concat('\"', event_id, '\"') WHEN 5 THEN 'true' ELSE cast(event_id AS string) END"), F.lit(',"event":{"kind":"'), F.col("event_type"), F.lit('","more":[1,{"a":null}]},"score":'), F.expr("CASE WHEN event_id % 3 = 0 THEN 'null' ELSE '1.5' END"), F.expr("CASE WHEN event_id % 13 = 7 THEN '' ELSE concat(',\"even\":', cast(event_id % 2 = 0 AS string)) END"), F.lit("}"), F.expr("CASE WHEN event_id % 17 = 9 THEN ' x' ELSE '' END"))
+
+
 _ERROR = "CASE WHEN event_id % 11 = 0 THEN 'field \"id\" must be int64' WHEN event_id % 11 = 5 THEN 'field \"id\" must be bool' WHEN event_id % 17 = 9 THEN 'value has trailing data' WHEN event_id % 13 = 7 THEN 'required field \"even\" is missing' END"
 _DECODED = f"SELECT *, {_ERROR} AS error FROM ev_log"
 
 
 def _json_rows(spark, sf_dir):
-    rows = rel(spark, sf_dir, "ev_log").withColumn("v", decoded(F.encode(_JSON, "utf-8"), "json", _FIELDS))
+    rows = rel(spark, sf_dir, "ev_log").withColumn("v", decoded(F.encode(_json_text(), "utf-8"), "json", _FIELDS))
     return rows.select("part", "record_offset", "event_id", "v.*")
 
 
