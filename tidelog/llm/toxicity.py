@@ -40,7 +40,7 @@ class Kernel:
     """rows: most labelled documents of each class to learn from; landmarks: most of each class; evidence: least log-likelihood ratio of a witness."""
 
     rows: int = 3000
-    landmarks: int = 192
+    landmarks: int = 128
     evidence: float = 24.0
     cost: float = 10.0
     seed: int = 3
@@ -332,8 +332,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from, params: Kernel = Kernel(
             ends = by_word.where("k = n").where(starts).select("word").limit(4000).toPandas()["word"].tolist()
             positive = sorted({*positive, *ends})
         plain = by_word.where("k < n").where(~F.col("word").startswith(STEM))
-        frequent = plain.orderBy(F.desc("n"), "word").limit(3000).toPandas()["word"].tolist()
-        rare = plain.orderBy(F.xxhash64(F.lit(6), "word")).limit(6000).toPandas()["word"].tolist()
+        frequent = plain.orderBy(F.desc("n"), "word").limit(2000).toPandas()["word"].tolist()
+        rare = plain.orderBy(F.xxhash64(F.lit(6), "word")).limit(4000).toPandas()["word"].tolist()
         chosen_words = set(positive)
         negative = sorted({w for w in frequent + rare if w and w not in chosen_words})
         # clean words that begin like a witness
