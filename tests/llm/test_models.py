@@ -109,6 +109,36 @@ def test_leaks(spark, documents, odd_rows):
     assert decontam.find_leaks(documents(rows), bench.limit(0), p).collect() == []
 
 
+def test_leaks_of_a_large_benchmark(spark, documents):
+    """Far more items than the latent space has dimensions: all leaks of a brute-force search, paraphrases included."""
+    rng = random.Random(8)
+    words = [f"{a}{b}" for a in WORDS for b in WORDS]
+    items = [[rng.choice(words) for _ in range(rng.randrange(15, 60))] for _ in range(2500)] + [words[:3]]
+    texts = []
+    for k in range(0, 2500, 50):
+        n = len(items[k])
+        drop = set(rng.sample(range(n - int(0.34 * n)), int(n * (0, 0.25, 0.4)[k // 50 % 3])))
+        kept = [w if j not in drop else rng.choice(words) for j, w in enumerate(items[k])]
+        texts.append([rng.choice(words) for _ in range(80)] + kept + [rng.choice(words) for _ in range(rng.randrange(90))])
+    texts += [[rng.choice(words) for _ in range(30)] + words[:3], [words[0], words[5], words[1], words[2]]]
+    p = decontam.Latent()
+    want = set()
+    for d, text in enumerate(texts):
+        for i, item in enumerate(items[:-1]):
+            n, tail = len(item), item[-max(1, int(len(item) * p.tail)) :]
+            for s in range(0, len(text), p.window // 2):
+                around = text[max(0, s - n) : s + p.window + n]
+                near = set(around)
+                share = decontam.lcs(item, around) / n if sum(w in near for w in item) >= p.partly * n else 0
+                if share >= p.covered or share >= p.partly and decontam.lcs(tail, around) / len(tail) >= p.answer:
+                    want.add((d, i))
+    assert len(want) >= 50
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.find_leaks(documents([(d, " ".join(t)) for d, t in enumerate(texts)]), bench, p).collect()}
+    assert {x for x in got if x[1] < 2500} == want
+    assert (50, 2500) in got
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
 def test_pipeline(spark):
     from tidelog.llm.common import Scratch
