@@ -78,7 +78,15 @@ def segment_key_parse(spark, sf_dir):
 
 @query("flush_key_parse", w("ev_log") + "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE record_timestamp END AS upload_ms FROM ev_log WHERE event_id % 11 = 0")
 def flush_key_parse(spark, sf_dir):
-    rows = rel(spark, sf_dir, "ev_log").where("event_id % 11 = 0")
+    return _flush_keys(rel(spark, sf_dir, "ev_log").where("event_id % 11 = 0"))
+
+
+@query("flush_key_parse_all")
+def flush_key_parse_all(spark, sf_dir):
+    return _flush_keys(rel(spark, sf_dir, "ev_log"))
+
+
+def _flush_keys(rows):
     key = F.concat(F.lit("node-a-"), F.col("record_timestamp").cast("string"), F.lit("-7"), F.when(F.col("event_id") % 5 == 0, ".tmp").otherwise(".data"))
     return rows.select("event_id", S.flush_upload_ms(key).alias("upload_ms"))
 

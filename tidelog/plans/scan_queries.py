@@ -116,8 +116,16 @@ def filter_ts_segment(spark, sf_dir):
 
 @query("index_lookup", w("ev_log", "segments") + "SELECT e.part, e.record_offset, s.base_offset, s.end_offset FROM ev_log e JOIN segments s ON e.part = s.part AND e.record_offset BETWEEN s.base_offset AND s.end_offset WHERE e.event_id % 23 = 0")
 def index_lookup(spark, sf_dir):
-    offsets = rel(spark, sf_dir, "ev_log").where("event_id % 23 = 0").select("part", "record_offset")
-    return scan.locate(offsets, rel(spark, sf_dir, "segments").select("part", "base_offset", "end_offset"), 100)
+    return _lookup(spark, sf_dir, rel(spark, sf_dir, "ev_log").where("event_id % 23 = 0"))
+
+
+@query("index_lookup_all")
+def index_lookup_all(spark, sf_dir):
+    return _lookup(spark, sf_dir, rel(spark, sf_dir, "ev_log"))
+
+
+def _lookup(spark, sf_dir, rows):
+    return scan.locate(rows.select("part", "record_offset"), rel(spark, sf_dir, "segments").select("part", "base_offset", "end_offset"), 100)
 
 
 @query("join_offset_to_segment", w("ev_log", "segments") + "SELECT s.part, s.base_offset, cast(count(*) AS bigint) AS n FROM ev_log e JOIN segments s ON e.part = s.part AND e.record_offset BETWEEN s.base_offset AND s.end_offset GROUP BY 1, 2")
