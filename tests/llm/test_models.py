@@ -4,6 +4,7 @@ import os
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -38,6 +39,16 @@ def test_quality(spark, documents, odd_rows):
     assert quality.classify(documents([]), none, fold, quality.PositiveUnlabelled(epochs=1)).collect() == []
 
 
+def test_repetition_late_in_a_text():
+    fresh = " ".join(f"{a}{b}" for a in WORDS for b in WORDS[:20])
+    late = " ".join(fresh.split()[:200] + ["again"] * 200)
+    x, y = quality.features(pa.array([" ".join(fresh.split()[:400]), late]))
+    assert y[-4] < 0.7 * x[-4]  # over all stretches
+    assert y[-1] == np.float32(1 / 200) < x[-1]  # the least of them
+    distinct, size = quality._distinct(np.array([1, 1, 2] * 150))
+    assert distinct.tolist() == [2, 2, 2] and size.tolist() == [200, 200, 50]
+
+
 def test_toxicity(spark, documents, odd_rows):
     rng = random.Random(2)
     rows, labels = [], []

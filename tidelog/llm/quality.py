@@ -43,7 +43,17 @@ def _classes() -> np.ndarray:
 
 _CLASS = _classes()
 _K = 21
-WIDTH = _K + _K * _K + 8
+_STRETCH = 200  # words whose share of distinct ones is compared, whatever the text's length
+WIDTH = _K + _K * _K + 9
+
+
+def _distinct(name: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct words and words of each stretch of a text."""
+    part = np.arange(len(name)) // _STRETCH
+    order = np.lexsort((name, part))
+    name, part = name[order], part[order]
+    new = np.append(True, (name[1:] != name[:-1]) | (part[1:] != part[:-1]))
+    return np.bincount(part[new]), np.bincount(part)
 
 
 def features(column: pa.Array) -> np.ndarray:
@@ -74,7 +84,9 @@ def features(column: pa.Array) -> np.ndarray:
                 tail[2] = w.mean()
                 tail[3] = w.std()
                 tail[4] = len(np.unique(name)) / len(w)
-                tail[5] = len(np.unique(name[: 200])) / len(name[: 200])
+                distinct, size = _distinct(name)
+                tail[5] = distinct.sum() / size.sum()
+                tail[8] = (distinct / size).min()
                 tail[6] = np.log1p(w.max())
                 tail[7] = np.log1p(1000.0 * one[4] / len(w))
     return out
