@@ -147,6 +147,53 @@ def test_grammar_random_access():
         assert (block.decode(k, k + 1) == docs[k]).all()
 
 
+def test_grammar_leaves_no_frequent_pair():
+    rng = np.random.default_rng(1)
+    runs = [rng.integers(3, 9, rng.integers(1, 40)) for _ in range(60)] + [np.full(500, 7), np.tile([4, 5, 6], 90)]
+    lens = np.array([len(d) for d in runs])
+    for first in (10, (1 << 16) - 5):  # the second one's rules need wide symbols
+        symbols, rules, cut = tokens.repair(np.concatenate(runs).astype(np.uint16), np.cumsum(lens), first, tokens.Grammar(least=4))
+        ends = set((cut - 1).tolist())
+        places = {}
+        for k in range(len(symbols) - 1):
+            pair = (symbols[k], symbols[k + 1])
+            if k not in ends and places.get(pair, [-2])[-1] != k - 1:
+                places.setdefault(pair, []).append(k)
+        assert max(map(len, places.values())) < 4 and len(rules) > 20 and max(symbols) >= first
+        record = tokens.pack(list(range(len(runs))), lens, np.concatenate(runs).astype(np.uint16), first, tokens.Grammar(least=4))
+        assert (tokens.Block(record).decode() == np.concatenate(runs)).all()
+        assert tokens.Block(record).rules.dtype.itemsize == (2 if first == 10 else 4)
+
+
+def test_tokenizer_of_another_form(tmp_path):
+    import json
+
+    import pyarrow as pa
+
+    spec = json.loads(open(TOKENIZER).read())
+    spec["normalizer"] = {"type": "NFC"}
+    (tmp_path / "t.json").write_text(json.dumps(spec))
+    other, own = tokens.encoder(str(tmp_path / "t.json")), tokens.encoder(TOKENIZER)
+    assert own.fast and not other.fast
+    texts = ["It's Ünder  way", None, "", "12 a\u0301 <|endoftext|> it'sx -'s"]
+    for codec in (own, other):
+        ((ids, n),) = codec.encode(pa.array(texts))
+        assert ids.tolist() == [i for t in texts for i in codec.tokenizer.encode(t or "", add_special_tokens=False).ids]
+        assert n.tolist() == [len(codec.tokenizer.encode(t or "", add_special_tokens=False).ids) for t in texts]
+
+
+def test_tokens_of_hot_ids(spark, documents):
+    """Rows without an id, and rows that share one, are dealt over all parts."""
+    rows = documents([(None if i % 3 else 7, f"text {i % 50}") for i in range(6000)])
+    written = tokens.write_tokens(rows, TOKENIZER, tokens.Grammar(block_tokens=500)).collect()
+    per = Counter()
+    for r in written:
+        per[r.part] += r.n_tokens
+    assert max(per.values()) < 0.5 * sum(per.values())
+    got = tokens.encode(rows, TOKENIZER).collect()
+    assert len(got) == 6000 and sum(r.n_tokens for r in got) == sum(per.values())
+
+
 # repeats
 
 
