@@ -21,10 +21,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id stays, once; documents without an id stay."""
-    kept = minhash.near_duplicates(docs, minhash.MinHash(shingle=5, percent=80)).where("kept").select("doc_id").distinct()
-    once = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(docs.where("doc_id is null"))
+    """One row of each group of near copies stays, that with the smallest doc_id; rows without words stay.
+
+    Rows without an id, and different texts with one id, are documents of their own; equal rows are copies.
+    """
+    return minhash.keep_one(docs, minhash.MinHash(shingle=5, percent=80))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
