@@ -1,5 +1,6 @@
 """Quality, toxicity and decontamination: held-out accuracy and odd rows; the pipeline against its parts."""
 
+import itertools
 import os
 import random
 
@@ -76,11 +77,53 @@ def test_toxicity(spark, documents, odd_rows):
     assert toxicity.classify(documents([]), none, fold).collect() == []
 
 
-def test_string_kernel():
-    ids, weights = toxicity.occurrences(["abcd"])
-    assert abs((weights**2).sum() - 1) < 1e-5
-    near, far = (toxicity._kernel([w], ["scoundrel"])[0, 0] for w in ("scoundxrel", "marmalade"))
-    assert near > 0.4 > 0.2 > far
+def subsequences(word):
+    """Weighted subsequences of a marked word, by a plain search over places."""
+    out = {}
+    for size, span in ((3, 5), (4, 7)):
+        for places in itertools.combinations(range(len(word)), size):
+            if places[-1] - places[0] < span:
+                key = tuple(word[k] for k in places)
+                out[key] = out.get(key, 0) + toxicity.DECAY ** (places[-1] - places[0] - size + 1)
+    return out
+
+
+def test_string_kernel_matches_a_plain_search():
+    words = ["scoundrel", "scoundxrel", "marmalade", "abab", "a", "\xe9t\xe9", "ooooo"]
+    r = toxicity.read(words, 12)
+    pieces = r.pieces()
+    got = toxicity.kernel(pieces, pieces)
+    code = [tuple(int(c) for c in p) for p in pieces]
+    for i, x in enumerate(code):
+        for j, y in enumerate(code):
+            f, g = subsequences(x), subsequences(y)
+            want = sum(v * g.get(k, 0) for k, v in f.items()) / (toxicity._NORM[len(x)] * toxicity._NORM[len(y)])
+            assert abs(got[i, j] - want) < 1e-4
+    assert got[0, 1] > 0.4 > 0.2 > got[0, 2]
+    # the weights of the fast way: one word's subsequences as the machine's weights
+    weight = np.zeros(toxicity.SIZE, np.float32)
+    ids, w = toxicity.occurrences(pieces[:1])
+    np.add.at(weight, ids[0], w[0])
+    assert np.allclose(toxicity.margins(r, weight, 0.5) - 0.5, got[:, 0], atol=1e-4)
+
+
+def test_reading_of_sentences():
+    def spelled(texts, words=12):
+        r = toxicity.read(texts, words)
+        names = ["".join(chr(96 + c) if c < 27 else "#" for c in p[1:-1]) for p in r.pieces()]
+        return [(int(r.text[s]), [n for n, z in zip(names, r.sentence, strict=True) if z == s]) for s in range(len(r.text))]
+
+    assert spelled(["One two. Three", "", "i d i o t you", "b-a.d \n x y", "$$ !!"]) == [(0, ["one", "two"]), (0, ["three"]), (2, ["idiot", "you"]), (3, ["bad"]), (3, ["xy"])]
+    assert spelled(["a1 b2 c3 d4 e5"], 2) == [(0, ["a#", "b#"]), (0, ["c#", "d#"]), (0, ["e#"])]
+    assert spelled(["ab" * 20])[0][1] == ["ab" * 12, "ab" * 12]
+    assert spelled(["", "  "]) == []
+
+
+def test_one_id_with_many_texts_is_one_row_to_learn_from(spark, documents):
+    rows = [(1, f"text number {k} with an insult nitwit") for k in range(3000)] + [(None, "nobody knows")] * 3000 + [(k, "good words only") for k in range(2, 40)]
+    table = spark.createDataFrame([(1, 1, 1)] + [(k, 1, 0) for k in range(2, 40)], LABELS)
+    got = toxicity.classify(documents(rows), table, queries.fold(5, 0)).groupBy("doc_id").count().collect()
+    assert sum(r["count"] for r in got) == 6038
 
 
 def test_lcs():
