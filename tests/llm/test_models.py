@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from tidelog.llm import decontam, quality, queries, toxicity
+from tidelog.llm import decontam, mixing, quality, queries, toxicity
 
 DATA = "/root/testdata/sf0.01"
 WORDS = [a + b for a in ("ka", "lo", "mi", "ru", "te", "sho", "ban") for b in ("ra", "ne", "to", "vi", "lu", "sa", "dor")]
@@ -193,6 +193,80 @@ def test_leaks_of_a_large_benchmark(spark, documents):
     assert (50, 2500) in got
 
 
+@pytest.fixture(scope="module")
+def corner(spark, tmp_path_factory):
+    """Labels and a benchmark, and documents with odd ids and columns of many names."""
+    folder = str(tmp_path_factory.mktemp("tables"))
+    rng = random.Random(12)
+    spark.createDataFrame([(k, 1, int(k % 4 == 0)) for k in range(200)], LABELS).write.parquet(f"{folder}/labels.parquet")
+    item = " ".join(rng.choice(WORDS) + rng.choice(WORDS) for _ in range(30))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    names = "key words copy copies component node label cluster block n size place held_out score _d _t g0 t0 t1 one".split()
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names)
+
+    def make(rows):
+        return spark.createDataFrame([(i, t, "en", s, len(t or ""), *names) for i, t, s in rows], schema)
+
+    texts = {k: clean(rng, 50) for k in range(200)}
+    learn = [(k, t + (" you blockhead" if k % 4 == 0 else ""), "a") for k, t in texts.items()]
+    return folder, make, learn, item, rng
+
+
+def test_stage_toxicity_on_odd_rows(spark, corner):
+    folder, make, learn, _, rng = corner
+    odd = [(None, clean(rng, 30) + " blockhead", "a"), (None, "kind words", "a"), (1, clean(rng, 20) + " blockhead", "a"), (1, None, "a"), (None, "", None)]
+    docs = make(learn + odd)
+    got = corpus_pipeline.drop_toxic(spark, docs, folder)
+    assert got.columns == docs.columns
+    left = [(r.doc_id, r.text) for r in got.collect()]
+    assert sorted(left, key=str) == sorted([(i, t) for i, t, _ in learn + odd if "blockhead" not in (t or "")], key=str)
+    assert corpus_pipeline.drop_toxic(spark, make([]), folder).collect() == []
+
+
+def test_stage_near_duplicates_on_odd_rows(spark, corner):
+    folder, make, _, _, rng = corner
+    a, b = clean(rng, 60), clean(rng, 60)
+    docs = make([(5, a, "a"), (5, b, "a"), (None, a + " end", "a"), (None, clean(rng, 9), "a"), (9, b, "a"), (None, None, "a"), (6, "", "a"), (6, "", "a")])
+    got = corpus_pipeline.drop_near_copies(spark, docs, folder)
+    assert got.columns == docs.columns
+    left = [(r.doc_id, r.text) for r in got.collect()]
+    assert len(left) == 6 and (5, a) in left and (5, b) in left and left.count((6, "")) == 2 and (None, None) in left
+    assert corpus_pipeline.drop_near_copies(spark, make([]), folder).collect() == []
+
+
+def test_stage_decontamination_on_odd_rows(spark, corner):
+    folder, make, learn, item, rng = corner
+    rows = learn + [(None, clean(rng, 40) + " " + item, "a"), (None, "kept", "a"), (3, item, "a"), (3, "kept too", "a"), (4, None, "a")]
+    docs = make(rows)
+    got = corpus_pipeline.drop_leaks(spark, docs, folder)
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(i, t) for i, t, _ in rows if item not in (t or "")], key=str)
+    assert corpus_pipeline.drop_leaks(spark, make([]), folder).collect() == []
+
+
+def test_stage_mixing_on_odd_rows(spark, corner):
+    folder, make, learn, _, rng = corner
+    rows = learn + [(None, clean(rng, 50), "b") for _ in range(40)] + [(7, clean(rng, 50), None) for _ in range(40)] + [(8, "same old words " * 10, "b")] * 40 + [(9, None, "b")]
+    docs = make(rows)
+    got = corpus_pipeline.mix_sources(spark, docs, folder)
+    assert got.columns == docs.columns
+    goal, words = mixing.targets([(s, sum(len((t or "").split()) for _, t, x in rows if x == s)) for s in ("a", "b", None)]), {}
+    for r in got.collect():
+        words[r.source] = words.get(r.source, 0) + len((r.text or "").split())
+        assert (r.doc_id, r.text, r.source) in rows
+    assert all(abs(words[s] - goal[s]) < 0.02 * goal[s] for s in goal)
+    assert corpus_pipeline.mix_sources(spark, make([]), folder).collect() == []
+
+
+def test_stage_sharding_on_odd_rows(spark, corner):
+    folder, make, learn, _, _ = corner
+    rows = learn + [(None, "x", "a")] * 50 + [(7, None, "a")] * 30
+    got = corpus_pipeline.shard(spark, make(rows), folder).collect()
+    sizes = [sum(r.shard == s for r in got) for s in range(40)]
+    assert len(got) == len(rows) and max(sizes) - min(sizes) <= 1
+    assert corpus_pipeline.shard(spark, make([]), folder).collect() == []
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
 def test_pipeline(spark):
     from tidelog.llm.common import Scratch

@@ -1,6 +1,8 @@
 """Sharding, URL rules, mixing, tokens, repeats and media: brute force, round trips and odd rows."""
 
+import bisect
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -8,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidelog.llm import media, mixing, ring, substrings, tokens, urls
 
@@ -45,6 +48,33 @@ def test_ring_settles_as_a_walk_clockwise():
         assert [lo for lo, _ in spans] == [0, *[hi for _, hi in spans]][: len(spans)] and (spans[-1][1] if spans else 0) == n
 
 
+def test_ring_matches_a_walk_key_by_key(documents):
+    """Every key walks clockwise by itself: hop by hop, in the order of the ring, into shards that have room."""
+    r = ring.Ring(shards=5, nodes=8)
+    rows = [(None if i % 9 == 0 else i % 400, "t" * (i % 7)) for i in range(1500)]
+    got = ring.assign(documents(rows), r).select("doc_id", "size", "text_crc32", "shard", F.xxhash64(F.lit(42), "doc_id").alias("place")).collect()
+    points = r.points()
+    bounds = [p for p, _ in points]
+    keys = sorted(((x.place, x.doc_id is not None, x.doc_id or 0, x.size, x.text_crc32) for x in got))
+    arc = [bisect.bisect_left(bounds, k[0]) % len(bounds) for k in keys]
+    room = [300] * 5
+    shard = [None] * len(keys)
+    order = [list(dict.fromkeys(points[(a + j) % len(points)][1] for j in range(len(points)))) for a in range(len(points))]
+    for hop in range(5):
+        for a in range(len(points)):
+            for k in range(len(keys)):
+                if arc[k] == a and shard[k] is None and room[order[a][hop]]:
+                    shard[k] = order[a][hop]
+                    room[order[a][hop]] -= 1
+    assert Counter((k[1] and k[2], k[3], s) for k, s in zip(keys, shard, strict=True)) == Counter((x.doc_id is not None and x.doc_id, x.size, x.shard) for x in got)
+
+
+def test_ring_of_hot_ids(spark, documents):
+    rows = documents([(7 if i % 3 else None, "same") for i in range(50_000)])
+    got = ring.assign(rows, ring.Ring(shards=8)).groupBy("shard").agg(F.count("*").alias("n"), F.min("slot").alias("lo"), F.max("slot").alias("hi"), F.count_distinct("slot").alias("d")).collect()
+    assert [(r.n, r.lo, r.hi, r.d) for r in got] == [(6250, 0, 6249, 6250)] * 8
+
+
 def test_one_more_shard_moves_few_rows(documents):
     rows = documents([(i, "t") for i in range(4000)])
     before = {r.doc_id: r.shard for r in ring.assign(rows, ring.Ring(shards=10)).collect()}
@@ -106,6 +136,37 @@ def test_mix_meets_targets(documents):
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix(documents(rows), block_rows=100).collect()))
 
 
+def dense_tilt(sizes, goal, most):
+    """By bisection, document by document, without histograms or Newton steps."""
+    mean = sum(sizes) / len(sizes)
+    lo, hi = -700.0, 700.0
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        total = sum(s * min(most, math.exp(min(mid * s / mean, 700))) for s in sizes)
+        lo, hi = (mid, hi) if total < goal else (lo, mid)
+    return lo, mean
+
+
+def test_balance_matches_a_dense_solver(spark):
+    rng = random.Random(5)
+    sizes = {s: [rng.choice([1, 4, 30, 200]) for _ in range(300)] for s in ("a", "b", "c", None)}
+    goal = {s: share * sum(sizes[s]) for s, share in zip(sizes, (0.2, 0.9, 1.7, 2.6), strict=True)}
+    rows = [(s, k, n) for s in sizes for k, n in Counter(sizes[s]).items()]
+    found = mixing.balance(spark.createDataFrame(rows, "source string, size long, n long"), goal, {s: sum(x) for s, x in sizes.items()}, {s: len(x) for s, x in sizes.items()}, 3)
+    for s in sizes:
+        tilt, mean = dense_tilt(sizes[s], goal[s], 3)
+        assert abs(found[s][0] - tilt) < 2e-3 * max(1, abs(tilt)) and abs(found[s][1] - mean) < 1e-9
+
+
+def test_mix_of_hot_ids(documents):
+    rows = [(7 if i % 3 else None, "a b c", "x") for i in range(50_000)] + [(i, "w " * 200, "y") for i in range(100, 400)]
+    got = mixing.mix(documents(rows)).groupBy("size", "target").agg(F.count("*").alias("n"), F.sum("taken").alias("taken")).collect()
+    assert {r["size"]: r.n for r in got} == {3: 50_000, 200: 300}
+    assert all(abs(r.taken - r.target) <= 0.01 * r.target for r in got)
+    again = mixing.repeat(documents(rows))
+    assert again.columns == documents([]).columns and again.count() == sum(r.taken // r["size"] for r in got)
+
+
 def test_mix_odd(documents, odd_rows):
     got = mixing.mix(documents(odd_rows)).collect()
     assert len(got) == len(odd_rows) and all(r.copies <= 3 for r in got)
