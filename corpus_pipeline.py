@@ -1,13 +1,13 @@
 """From documents to a mixed and sharded training corpus, in stages.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows it gets; its result is written as Parquet and read again as
-the next one's docs. All but the last return the columns of documents.
+the next one's docs. All but the last return the columns of documents, and any more that docs has, whatever their names.
+Null or repeated ids, equal rows, empty and very long texts and empty tables are ordinary input to each stage.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidelog.llm import decontam, minhash, mixing, ring, toxicity
 from tidelog.llm.common import Scratch
@@ -15,7 +15,7 @@ from tidelog.llm.queries import fold
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity classifier rejects go; labels are learnt outside the held-out fold."""
+    """Documents that the toxicity classifier rejects go; labels are learnt outside the held-out fold. Rows without text stay."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.reject(docs, labels, fold(5, 0))
 
@@ -29,23 +29,17 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    leaks = decontam.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(leaks.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """Rows that hold a benchmark item go; each row is judged by its own text, with or without an id."""
+    return decontam.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at their target weights: a document appears as often as the mix takes it."""
-    size = mixing.word_count(F.col("text"))
-    taken = mixing.mix(docs).groupBy("doc_id", "size").agg(F.max("copies").alias("copies"))
-    taken = taken.where("copies > 0").select(F.xxhash64("doc_id", "size").alias("key"), F.col("doc_id").alias("id"), F.col("size").alias("words"), "copies")
-    keyed = docs.withColumn("words", size).withColumn("key", F.xxhash64("doc_id", "words"))
-    met = keyed.join(taken, (keyed.key == taken.key) & keyed.doc_id.eqNullSafe(taken.id) & (keyed.words == taken.words))
-    return met.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select([docs[c] for c in docs.columns])
+    """Sources at their target weights: a row appears as often as the mix takes it; rows without words appear once."""
+    return mixing.repeat(docs)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's shard and slot."""
+    """Every row's shard and slot; rows without an id, or with the same one, are rows like any other."""
     return ring.assign(docs, ring.Ring(shards=40))
 
 
