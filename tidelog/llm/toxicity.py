@@ -228,13 +228,9 @@ class Model:
 
     def worst(self, texts: list[str]) -> np.ndarray:
         out = np.full((len(texts), 3), -2.0)
-        lo, size = 0, 0
-        for k, t in enumerate(texts):
-            size += len(t) + 1
-            if size >= _CHUNK or k + 1 == len(texts):
-                r = read(texts[lo : k + 1], self.words)
-                out[lo : k + 1] = worst(margins(r, self.weight, self.bias), r.text, k + 1 - lo)
-                lo, size = k + 1, 0
+        for lo, hi in _parts(texts):
+            r = read(texts[lo:hi], self.words)
+            out[lo:hi] = worst(margins(r, self.weight, self.bias), r.text, hi - lo)
         return out
 
     def score(self, texts: list[str]) -> np.ndarray:
@@ -302,15 +298,20 @@ def choose_landmarks(pieces: np.ndarray, value: np.ndarray, clean: np.ndarray, p
 def machine(x: np.ndarray, y: np.ndarray, share: np.ndarray, p: Kernel) -> np.ndarray:
     """Squared-hinge support vector machine by Newton's method, with a bias; clean words weigh ``caution`` times as much."""
     share = share * np.where(y > 0, 1 / max(1e-9, share[y > 0].sum()), p.caution / max(1e-9, share[y < 0].sum())) * p.cost
-    x = np.concatenate([x, np.ones((len(x), 1), np.float32)], 1)
-    ridge = np.eye(x.shape[1])
+    width = x.shape[1] + 1
+    ridge = np.eye(width)
     ridge[-1, -1] = 1e-3
-    beta = np.zeros(x.shape[1])
+    beta = np.zeros(width)
     for _ in range(25):
-        active = y * (x @ beta) < 1
-        xa = x[active].astype(np.float64)
-        weighted = xa * share[active][:, None]
-        new = np.linalg.solve(ridge + weighted.T @ xa, weighted.T @ y[active])
+        left, right = ridge.copy(), np.zeros(width)
+        for k in range(0, len(x), 4096):
+            part = np.concatenate([x[k : k + 4096], np.ones((len(x[k : k + 4096]), 1))], 1)
+            active = y[k : k + 4096] * (part @ beta) < 1
+            part = part[active]
+            weighted = part * share[k : k + 4096][active][:, None]
+            left += weighted.T @ part
+            right += weighted.T @ y[k : k + 4096][active]
+        new = np.linalg.solve(left, right)
         if np.allclose(new, beta, atol=1e-7):
             break
         beta = new
@@ -357,28 +358,49 @@ class _Bags:
     toxic: np.ndarray
 
 
+def _parts(texts: list[str]):
+    """Stretches of texts of about ``_CHUNK`` characters: from, to."""
+    lo, size = 0, 0
+    for k, t in enumerate(texts):
+        size += len(t) + 1
+        if size >= _CHUNK or k + 1 == len(texts):
+            yield lo, k + 1
+            lo, size = k + 1, 0
+
+
 def _bags(texts: list[str], toxic: np.ndarray, p: Kernel) -> _Bags:
-    r = read(texts, p.words)
-    if not len(r.begin):
+    table = np.random.default_rng(p.seed).integers(0, 1 << 64, (_PIECE + 2, _CODES), np.uint64)
+    found = []
+    for lo, hi in _parts(texts):
+        r = read(texts[lo:hi], p.words)
+        if not len(r.begin):
+            continue
+        nth = np.arange(len(r.codes)) - np.repeat(r.begin, r.size)
+        token = np.add.reduceat(table[nth, r.codes], r.begin)  # of each piece
+        cut = np.flatnonzero(np.append(True, r.sentence[1:] != r.sentence[:-1]))
+        digest = np.add.reduceat(token, cut)
+        order = np.lexsort((digest, r.text))
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order)) - np.searchsorted(r.text[order], np.arange(hi - lo))[r.text[order]]
+        chosen = np.flatnonzero(rank < p.sentences)  # of each document, by hash
+        size = np.append(cut[1:], len(token))[chosen] - cut[chosen]
+        word = np.repeat(cut[chosen] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        names, first = np.unique(token[word], return_index=True)
+        kept = Reading(r.codes, r.begin[word[first]], r.size[word[first]], first, first)
+        found.append((token[word], size, digest[chosen], lo + r.text[chosen], names, kept.pieces()))
+    if not found:
         z = np.zeros(0, np.int64)
         return _Bags(np.zeros(0, f"S{_PIECE + 2}"), z, z, z, z.astype(bool))
-    pieces, number = np.unique(r.pieces(), return_inverse=True)
-    cut = np.flatnonzero(np.append(True, r.sentence[1:] != r.sentence[:-1]))
-    token = np.random.default_rng(p.seed).integers(1, 1 << 62, len(pieces))
-    digest = np.add.reduceat(token[number], cut)
-    order = np.lexsort((digest, r.text))
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order)) - np.searchsorted(r.text[order], np.arange(len(texts)))[r.text[order]]
-    chosen = np.flatnonzero(rank < p.sentences)  # of each document, by hash
-    names, first, bag = np.unique(digest[chosen], return_index=True, return_inverse=True)
-    label = np.ones(len(names), bool)
-    np.logical_and.at(label, bag, toxic[r.text[chosen]])
-    one = chosen[first]
-    size = np.append(cut[1:], len(number))[one] - cut[one]
-    begin = np.cumsum(size) - size
-    word = number[np.repeat(cut[one] - begin, size) + np.arange(size.sum())]
-    used, word = np.unique(word, return_inverse=True)
-    return _Bags(pieces[used], word, np.repeat(np.arange(len(names)), size), r.text[one], label)
+    word, size, digest, text, names, pieces = (np.concatenate([f[k] for f in found]) for k in range(6))
+    names, first = np.unique(names, return_index=True)
+    pieces = pieces[first]
+    _, first, bag = np.unique(digest, return_index=True, return_inverse=True)
+    label = np.ones(len(first), bool)
+    np.logical_and.at(label, bag, toxic[text])
+    begin = (np.cumsum(size) - size)[first]
+    size = size[first]
+    word = np.searchsorted(names, word[np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())])
+    return _Bags(pieces, word, np.repeat(np.arange(len(first)), size), text[first], label)
 
 
 def train(texts: list[str], toxic: np.ndarray, p: Kernel) -> Model:
@@ -435,7 +457,10 @@ def train(texts: list[str], toxic: np.ndarray, p: Kernel) -> Model:
         x = [b.pieces[insults], gapped(b.pieces[thrice], rng), b.pieces[learnt], gapped(b.pieces[some], rng)]
         y = np.repeat([1.0, 1.0, -1.0, -1.0], [len(k) for k in x])
         shares = [share, np.repeat(share / 3, 3), count[1][learnt] ** 0.5, count[1][some] ** 0.5]
-        beta = machine(kernel(np.concatenate(x), landmarks) @ root, y, np.concatenate(shares), p)
+        features = kernel(np.concatenate(x), landmarks)
+        for k in range(0, len(features), 4096):
+            features[k : k + 4096] = features[k : k + 4096] @ root
+        beta = machine(features, y, np.concatenate(shares), p)
         value, bias = values(b.pieces, spread(beta)), float(beta[-1])
     model = Model(spread(beta), bias, np.array([4.0, 0.0, 0.0]), 0.0, p.words)
     found, sign = model.worst(texts), toxic.astype(float)
