@@ -274,7 +274,8 @@ def test_repeats_match_brute_force(documents):
     rows = list(enumerate(texts))
     words = {i: t.split() for i, t in rows}
     seen = Counter(tuple(w[k : k + 35]) for w in words.values() for k in range(len(w) - 34))
-    for got in (substrings.remove_repeats(documents(rows), substrings.Repeats(35)).collect(), substrings.remove_repeats(documents(rows), substrings.Repeats(35), with_text=True).collect()):
+    # groups of all sizes: by chunks, by longer prefixes, by whole windows
+    for got in (substrings.remove_repeats(documents(rows), substrings.Repeats(35)).collect(), substrings.remove_repeats(documents(rows), substrings.Repeats(35, group=6), with_text=True).collect(), substrings.remove_repeats(documents(rows), substrings.Repeats(35, group=0)).collect()):
         assert len(got) == len(rows)
         for r in got:
             w = words[r.doc_id]
@@ -283,6 +284,24 @@ def test_repeats_match_brute_force(documents):
             assert (r.n_words, r.n_removed, r.kept_sha256) == (len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest())
 
 
+def test_deep_nodes():
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    texts = [[rng.choice("ab") for _ in range(rng.randrange(5, 30))] for _ in range(40)]
+    seen = Counter(tuple(t[k : k + 5]) for t in texts for k in range(len(t) - 4))
+    got = substrings.deep_nodes(pa.array([" ".join(t).encode() for t in texts], pa.binary()), np.array([len(t) - 4 for t in texts]), 5)
+    assert got.tolist() == [seen[tuple(t[k : k + 5])] > 1 for t in texts for k in range(len(t) - 4)]
+
+
+def test_repeats_of_hot_rows(documents):
+    """Rows without an id, 10,000 equal rows, and one passage in many texts."""
+    common = " ".join(f"c{i}" for i in range(40))
+    rows = [(None if i % 2 else 5, "w " * 3 + common + " end") for i in range(10_000)] + [(None, f"u{i} " + common + f" v{i}") for i in range(3000)] + [(-1, "alone " + " ".join(f"s{i}" for i in range(50)))]
+    got = substrings.remove_repeats(documents(rows), substrings.Repeats(35, group=100)).groupBy("doc_id", "n_words", "n_removed").count().collect()
+    assert {(r.doc_id, r.n_words, r.n_removed): r["count"] for r in got} == {(5, 44, 44): 5000, (None, 44, 44): 5000, (None, 42, 40): 3000, (-1, 51, 0): 1}
+
+
 def test_repeats_odd(documents, odd_rows):
     got = substrings.remove_repeats(documents(odd_rows), substrings.Repeats(35)).collect()
     assert len(got) == len(odd_rows)
