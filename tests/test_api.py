@@ -2,10 +2,11 @@ import uuid
 
 import pytest
 
-from tidelog.api import LogEngine, SchemaInvalid, SequenceGap, UnknownTopic
+from tidelog.api import LogEngine, SchemaInvalid, SequenceConflict, SequenceGap, UnknownTopic
 from tidelog.operators import scan
 from tidelog.sources.store import Conflict, shared_dir
 from tidelog.sources.values import Field
+from tidelog.streaming import export
 
 
 @pytest.fixture()
@@ -44,6 +45,8 @@ def test_idempotent_producer(spark, engine):
     engine.create_topic("t")
     first = engine.produce("t", batch(spark, 0, 5), ["n"], producer_id=9, sequence=0)
     assert engine.produce("t", batch(spark, 0, 5), ["n"], producer_id=9, sequence=0) == first
+    with pytest.raises(SequenceConflict):
+        engine.produce("t", batch(spark, 0, 6), ["n"], producer_id=9, sequence=0)
     with pytest.raises(SequenceGap):
         engine.produce("t", batch(spark, 5, 6), ["n"], producer_id=9, sequence=7)
     engine.produce("t", batch(spark, 5, 6), ["n"], producer_id=9, sequence=5)
@@ -73,6 +76,32 @@ def test_typed_export_compact_expire(spark, engine):
     assert engine.topics() == []
 
 
+def test_keyless_rows_go_round_robin_by_arrival(spark, engine):
+    engine.create_topic("rr", partitions=3)
+    rows = lambda lo, hi: spark.createDataFrame([(None, str(i).encode(), i) for i in range(lo, hi)], "key binary, value binary, n long").repartition(4)
+    engine.produce("rr", rows(0, 10), ["n"])
+    engine.produce("rr", rows(10, 17), ["n"])
+    got = {int(bytes(r.value)): r.part for r in engine.log("rr").collect()}
+    assert got == {i: i % 3 for i in range(17)}
+
+
+def test_export_never_overwrites(spark, engine):
+    """Batches cut another way after a lost checkpoint add nothing twice, and a writer that was overtaken is refused."""
+    fields = [Field("id", "int64", "$.id")]
+    engine.create_topic("e", 1, "json", fields)
+    engine.produce("e", batch(spark, 0, 6), ["n"])
+    table, log = engine.table("e"), engine.log("e")
+    table.ensure_schema([{"name": "id", "type": "int64"}], 1)
+    export.export_batch(log.where("record_offset < 4"), 0, table, fields)
+    before = table.metadata()
+    export.export_batch(log.where("record_offset < 5"), 0, table, fields)
+    export.export_batch(log, 0, table, fields)
+    export.export_batch(log, 1, table, fields)
+    assert sorted(r.id for r in table.read().collect()) == list(range(6)) and len(table.metadata()["snapshots"]) == 3
+    with pytest.raises(Conflict):
+        table.commit("data/late", 2, {"0": 6}, "0:4-5", before["checkpoint"])
+
+
 def test_group_offsets(engine):
     engine.commit_offsets("g", {"t": {0: 5, 1: 6}})
     engine.commit_offsets("g", {"t": {0: 4}, "u": {2: 1}})

@@ -1,6 +1,6 @@
 """Folds with a memory, row by row."""
 
-from tidelog.operators import fold, jobs
+from tidelog.operators import aggregate, fold, jobs, maintenance
 from tidelog.streaming.state import fold_group
 
 
@@ -32,7 +32,6 @@ def test_compaction_and_ranges(spark):
 def test_buffers(spark):
     df = spark.createDataFrame([(0, k, at, n) for k, (at, n) in enumerate([(0, 5), (1, 5), (2, 1), (100, 1), (101, 20)])], "part int, k long, at long, n long")
     assert [r.flush for r in jobs.flushes(df, "k", "at", "n", 10, 50).orderBy("k").collect()] == [0, 0, 1, 2, 2]
-    assert [r.admitted for r in jobs.admitted(df, "k", "n", 10).orderBy("k").collect()] == [True, True, True, True, False]
     paced = [r.goes_at for r in jobs.paced(df.selectExpr("part", "k", "0L AS at"), "k", "at", 10, 2).orderBy("k").collect()]
     assert paced == [0, 0, 100, 200, 300]
 
@@ -42,3 +41,32 @@ def test_group():
     assert fold_group(events, 100, 90) == {"generation": 2, "leader": "a", "members": ["a", "b"], "state": "Stable"}
     assert fold_group(events, 100, 155)["members"] == ["a"]
     assert fold_group([], 100, 0) == {"generation": 0, "leader": None, "members": [], "state": "Empty"}
+
+
+def test_back_pressure(spark):
+    """Each active part allows 10 bytes; more than 8 in one buffer flush it."""
+    rows = [(0, 6), (0, 5), (1, 4), (1, 4), (0, 3), (2, 25), (0, 7), (1, 1)]
+    df = spark.createDataFrame([("p", k, part, n) for k, (part, n) in enumerate(rows)], "producer string, k long, part int, nbytes long")
+    got = [r.admitted for r in jobs.admitted(df, "producer", "k", "nbytes", 10, 8).orderBy("k").collect()]
+    # 6; 11 refused; 6 + 4; 6 + 8; 9 + 8, so the first is flushed; 8 + 25 of 20 refused; 7 + 8; 7 + 9 flushes the second
+    assert got == [True, False, True, True, True, False, True, True]
+
+
+def test_replicated_assignment(spark):
+    known = [("t", 0, ["a", "b"], "a", 4), ("t", 1, ["a", "x"], "x", 2), ("t", 2, ["x", "y"], "x", 7), ("t", 3, None, None, None), ("t", 4, ["b", "c"], "q", 1)]
+    df = spark.createDataFrame(known, "topic string, part int, replicas array<string>, leader string, epoch long")
+    active = spark.createDataFrame([("c",), ("a",), ("b",)], "instance string")
+    got = {r.part: (r.replicas, r.leader, r.epoch) for r in maintenance.assign_replicated(df, active, 2).collect()}
+    # 0 keeps; 1 falls to a and, with a replica away, is not balanced; 2 has nobody left: c, a; 3 is new: a, b; 4 is led by one of its own
+    assert got == {0: (["a", "b"], "a", 4), 1: (["a", "x"], "a", 3), 2: (["c", "a"], "c", 8), 3: (["a", "b"], "b", 2), 4: (["b", "c"], "b", 1)}
+    few = spark.createDataFrame([("z",)], "instance string")
+    stay = {r.part: (r.replicas, r.leader, r.epoch) for r in maintenance.assign_replicated(df.where("part = 2"), few, 2).collect()}
+    assert stay == {2: (["x", "y"], "x", 7)}
+
+
+def test_offset_check_by_blocks(spark):
+    offsets = [o for o in range(5, 40) if o not in (7, 8, 16, 17, 18, 30)] + [12, 12]
+    df = spark.createDataFrame([(0, o) for o in offsets] + [(1, 3)], "part int, record_offset long")
+    for block in (4096, 8, 1):
+        got = {r.part: tuple(r)[1:] for r in aggregate.offset_check(df, 2, block).collect()}
+        assert got == {0: (29, 5, 39, 6, [7, 16]), 1: (1, 3, 3, 0, [])}

@@ -34,6 +34,10 @@ class SequenceGap(ValueError):
     pass
 
 
+class SequenceConflict(ValueError):
+    """A retry under a known sequence with another number of records."""
+
+
 class SchemaInvalid(ValueError):
     pass
 
@@ -85,8 +89,9 @@ class LogEngine:
     def produce(self, name: str, rows: DataFrame, order: list[str], producer_id: int | None = None, sequence: int | None = None) -> dict[int, tuple[int, int]]:
         """Append ``rows`` (key, value; timestamp and headers if given) and return each partition's offset range.
 
-        Keys choose the partition; rows without one go round robin. A producer that repeats one of its last batches
-        gets the range of the first time. Values of a typed topic must decode.
+        Keys choose the partition; rows without one go round robin, by their number of arrival in the topic. A producer
+        that repeats one of its last batches gets the range of the first time; with another number of records it is a
+        conflict. Values of a typed topic must decode.
         """
         topic = self._topic(name)
         for c, kind in (("timestamp", "long"), ("headers", "map<string,string>")):
@@ -98,14 +103,30 @@ class LogEngine:
             if bad:
                 raise SchemaInvalid(bad[0].error)
         key = F.when(F.length("key") > 0, F.col("key"))
-        part = F.coalesce(S.route_partition(key, topic["partitions"]), F.pmod(F.xxhash64(*order), F.lit(topic["partitions"])).cast("int"))
-        routed = rows.withColumn("key", key).withColumn("part", part).withColumn("record_timestamp", F.coalesce("timestamp", F.lit(self.clock())))
-        directory = f"{self._home(name)}/data/{uuid.uuid4().hex}"
+        rows = rows.withColumn("key", key).withColumn("record_timestamp", F.coalesce("timestamp", F.lit(self.clock())))
+        directory, incoming = (f"{self._home(name)}/{kind}/{uuid.uuid4().hex}" for kind in ("data", "incoming"))
+        keyless = rows.where("key IS NULL")
+        count = 0 if keyless.isEmpty() else keyless.count()
+        if count:
+            keyless = maintenance.numbered(keyless, order, f"{self.root}/{incoming}")
+        try:
+            return self._append(name, topic, rows, keyless, count, order, directory, producer_id, sequence)
+        finally:
+            self.store.delete(incoming)
+
+    def _append(self, name: str, topic: dict, rows: DataFrame, keyless: DataFrame, count: int, order: list[str], directory: str, producer_id: int | None, sequence: int | None) -> dict[int, tuple[int, int]]:
+        n = topic["partitions"]
         for _ in range(TRIES):
             number, head = self._head(name)
+            routed = rows.where("key IS NOT NULL").withColumn("part", S.route_partition(F.col("key"), n))
+            if count:
+                part = F.pmod(F.col("arrival") + head.get("arrivals", 0), F.lit(n)).cast("int")
+                routed = routed.unionByName(keyless.withColumn("part", part).drop("arrival"))
             known = head["producers"].get(str(producer_id), [])
-            for s, _, ranges in known:
+            for s, size, ranges in known:
                 if producer_id is not None and s == sequence:
+                    if (got := rows.count()) != size:
+                        raise SequenceConflict(f"producer {producer_id}: sequence {sequence} had {size} records, not {got}")
                     return {int(p): tuple(r) for p, r in ranges.items()}
             if producer_id is not None and known and sequence != known[-1][0] + known[-1][1]:
                 raise SequenceGap(f"producer {producer_id}: sequence {sequence} after {known[-1][0] + known[-1][1]}")
@@ -114,7 +135,7 @@ class LogEngine:
             placed.select("part", "record_offset", "record_timestamp", "key", "value", "headers").sortWithinPartitions("part", "record_offset").write.mode("overwrite").parquet(f"{self.root}/{directory}")
             written = self.spark.read.parquet(f"{self.root}/{directory}").groupBy("part").agg(F.min("record_offset").alias("lo"), F.max("record_offset").alias("hi"), F.count("*").alias("n")).collect()
             ranges = {str(r.part): [r.lo, r.hi] for r in written}
-            new = head | {"ends": head["ends"] | {p: r[1] + 1 for p, r in ranges.items()}, "data": head["data"] + [{"dir": directory, "ranges": ranges, "at": self.clock()}]}
+            new = head | {"ends": head["ends"] | {p: r[1] + 1 for p, r in ranges.items()}, "data": head["data"] + [{"dir": directory, "ranges": ranges, "at": self.clock()}], "arrivals": head.get("arrivals", 0) + count}
             if producer_id is not None:
                 new["producers"] = head["producers"] | {str(producer_id): (known + [[sequence, sum(r.n for r in written), ranges]])[-RECENT:]}
             try:
@@ -182,7 +203,7 @@ class LogEngine:
             table.ensure_schema([{"name": f.name, "type": f.type} for f in fields], 1)
         done = table.metadata()["checkpoint"]
         marks = self.spark.createDataFrame([(int(p), n) for p, n in done.items()], "p int, next_offset long")
-        rows = self.log(name).join(F.broadcast(marks), F.col("part") == F.col("p"), "left").where(F.col("record_offset") >= F.coalesce("next_offset", F.lit(0))).drop("p", "next_offset")
+        rows = self.log(name).join(marks, F.col("part") == F.col("p"), "left").where(F.col("record_offset") >= F.coalesce("next_offset", F.lit(0))).drop("p", "next_offset")
         if rows.isEmpty():
             return None
         number = len(table.metadata()["snapshots"])

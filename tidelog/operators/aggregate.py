@@ -6,20 +6,40 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def cluster_state(rows: DataFrame) -> DataFrame:
+    """ready, unavailable, rebalancing or degraded, by the instances active and ready, and the partitions assigned, initialized and expected."""
+    settled = (F.col("assigned") == F.col("expected")) & (F.col("initialized") == F.col("expected"))
+    state = F.when((F.col("active") > 0) & (F.col("active") == F.col("ready")) & settled, "ready").when(F.col("active") == 0, "unavailable").when(~settled, "rebalancing")
+    return rows.withColumn("state", state.otherwise("degraded"))
+
+
+def group_state(rows: DataFrame) -> DataFrame:
+    """Empty without members, Stable when all have assignments, else PreparingRebalance."""
+    return rows.withColumn("state", F.when(F.col("members") == 0, "Empty").when(F.col("assigned") == F.col("members"), "Stable").otherwise("PreparingRebalance"))
+
+
 def gaps(rows: DataFrame, by: str = "part", order: str = "record_offset") -> DataFrame:
     """missing before each row: the first row is the baseline, a step back counts as none."""
     before = F.lag(order).over(Window.partitionBy(by).orderBy(order))
     return rows.withColumn("missing", F.greatest(F.coalesce(F.col(order) - before - 1, F.lit(0)), F.lit(0)).cast("long"))
 
 
-def offset_check(rows: DataFrame, samples: int = 10) -> DataFrame:
+def offset_check(rows: DataFrame, samples: int = 10, block: int = 4096) -> DataFrame:
     """records, first, last, missing and the first gaps by partition.
 
-    missing needs no ordering; only gap samples do.
+    Blocks of offsets are looked at by themselves; only a row for each block is ordered within its partition.
     """
-    found = gaps(rows.select("part", "record_offset").distinct())
-    sample = F.slice(F.array_sort(F.collect_list(F.when(F.col("missing") > 0, F.col("record_offset") - F.col("missing")))), 1, samples)
-    return found.groupBy("part").agg(F.count("*").alias("records"), F.min("record_offset").alias("first"), F.max("record_offset").alias("last"), F.sum("missing").alias("missing"), sample.alias("gap_starts"))
+    inside = rows.groupBy("part", F.floor(F.col("record_offset") / block).alias("b")).agg(F.sort_array(F.collect_set("record_offset")).alias("a"))
+    n, first, last = F.size("a"), F.element_at("a", 1), F.element_at("a", -1)
+    steps = F.zip_with(F.slice("a", F.lit(1), n - 1), F.slice("a", F.lit(2), n - 1), lambda x, y: F.when(y > x + 1, x + 1))
+    blocks = inside.select("part", "b", n.alias("n"), first.alias("lo"), last.alias("hi"), F.slice(F.array_compact(steps), 1, samples).alias("gaps"))
+    before = F.lag("hi").over(Window.partitionBy("part").orderBy("b"))
+    blocks = blocks.withColumn("gaps", F.concat(F.array_compact(F.array(F.when(F.col("lo") > before + 1, before + 1))), "gaps"))
+    totals = blocks.groupBy("part").agg(F.sum("n").alias("records"), F.min("lo").alias("first"), F.max("hi").alias("last"))
+    holes = blocks.where(F.size("gaps") > 0).withColumn("k", F.row_number().over(Window.partitionBy("part").orderBy("b"))).where(F.col("k") <= samples)
+    starts = holes.groupBy("part").agg(F.slice(F.sort_array(F.flatten(F.collect_list("gaps"))), 1, samples).alias("gap_starts"))
+    found = totals.join(starts, "part", "left").withColumn("missing", F.col("last") - F.col("first") + 1 - F.col("records"))
+    return found.select("part", "records", "first", "last", "missing", F.coalesce("gap_starts", F.array().cast("array<bigint>")).alias("gap_starts"))
 
 
 def report_topic(windows: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .fold import ordered_fold
+
 
 def assign_offsets(rows: DataFrame, heads: DataFrame, order: list[str]) -> DataFrame:
     """Dense offsets in arrival order behind each partition's head. ``heads``: part, next_offset."""
@@ -134,6 +136,86 @@ def invalid_fields(fields: DataFrame) -> DataFrame:
     return fields.withColumn("reason", reason).where("reason IS NOT NULL").select("topic", "name", "reason")
 
 
+def numbered(rows: DataFrame, order: list[str], path: str) -> DataFrame:
+    """``rows`` with ``arrival``, their number from 0 in the order of ``order``; they are written to ``path`` on the way.
+
+    Rows are sorted by ranges and each task numbers its own, so no task sees them all; the driver holds a count of each.
+    """
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())
+    ranged.write.parquet(path)
+    kept = rows.sparkSession.read.schema(ranged.schema).parquet(path)
+    task = F.shiftright("_m", 33)
+    counts = sorted((r.t, r["count"]) for r in kept.groupBy(task.alias("t")).count().collect())
+    base, at = [], 0
+    for t, n in counts:
+        base.append((t, at))
+        at += n
+    table = rows.sparkSession.createDataFrame(base, "_t long, _base long")
+    within = F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
+    return kept.join(table, task == F.col("_t")).withColumn("arrival", F.col("_base") + within).drop("_m", "_t", "_base")
+
+
+def assign_replicated(partitions: DataFrame, instances: DataFrame, factor: int) -> DataFrame:
+    """For (topic, part) and, where there is one, its assignment (replicas, leader, epoch): the next assignment.
+
+    A new partition p has the replicas p, p + 1, ... in the order of instances, and its first one leads in epoch 1. A
+    known one keeps its replicas; an inactive leader is followed by the first active replica, or by a new replica set
+    where no replica is active and there are enough instances, each time in a new epoch. Then partition by partition,
+    where all replicas are active, the one that leads fewest partitions of the topic leads; a change is a new epoch.
+    """
+    all_ = instances.agg(F.sort_array(F.collect_set("instance")).alias("active"))
+    n = F.size("active")
+    fresh = F.transform(F.sequence(F.lit(0), F.least(F.lit(factor), n) - 1), lambda r: F.element_at("active", (F.pmod(F.col("part") + r, n) + 1).cast("int")))
+    known = F.size(F.coalesce("replicas", F.array())) > 0
+    led = F.when(F.array_contains("replicas", F.col("leader")), F.col("leader")).otherwise(F.element_at("replicas", 1))
+    p = partitions.crossJoin(all_).withColumn("fresh", fresh).withColumn("known", known).withColumn("led", led)  # one row
+    gone = F.col("known") & ~F.array_contains("active", F.col("led"))
+    heir = F.try_element_at(F.filter("replicas", lambda x: F.array_contains("active", x)), F.lit(1))
+    again = ~F.col("known") | (gone & heir.isNull() & (n >= factor))
+    moved = gone & (heir.isNotNull() | (n >= factor))
+    p = p.select("topic", "part", "active", F.when(again, F.col("fresh")).otherwise(F.col("replicas")).alias("replicas"), F.when(again, F.element_at("fresh", 1)).when(gone, F.coalesce(heir, "led")).otherwise(F.col("led")).alias("leader"), F.when(~F.col("known"), F.lit(1)).otherwise(F.col("epoch") + moved.cast("int")).cast("long").alias("epoch"))
+
+    def step(state, row):
+        active, replicas, leader, epoch = row
+        if set(replicas) <= set(active):
+            best = min(replicas, key=lambda r: state.get(r, 0))  # the first of several
+            epoch, leader = epoch + (best != leader), best
+            state = {**state, best: state.get(best, 0) + 1}
+        return state, (leader, epoch)
+
+    out = ordered_fold(p, ["topic"], ["part"], ["active", "replicas", "leader", "epoch"], dict, step, "new_leader string, new_epoch long")
+    return out.select("topic", "part", "replicas", F.col("new_leader").alias("leader"), F.col("new_epoch").alias("epoch"))
+
+
+def assign_diskless(partitions: DataFrame, instances: DataFrame) -> DataFrame:
+    """For (topic, part) with the last leader and epoch, if any: leaders dealt anew over the instances; a change is a new epoch."""
+    all_ = instances.agg(F.sort_array(F.collect_set("instance")).alias("active"))
+    leader = F.element_at("active", (F.pmod(F.col("part"), F.size("active")) + 1).cast("int"))
+    epoch = F.when(F.col("epoch").isNull(), F.lit(1)).otherwise(F.col("epoch") + (leader != F.col("leader")).cast("int"))
+    return partitions.crossJoin(all_).select("topic", "part", leader.alias("leader"), epoch.cast("long").alias("epoch"))  # one row
+
+
+def elect(rows: DataFrame) -> DataFrame:
+    """For (topic, part, isr, failed, e): the first in-sync replica but the failed one leads, in the epoch after ``e``."""
+    leader = F.try_element_at(F.filter("isr", lambda x: x != F.col("failed")), F.lit(1))
+    return rows.select("topic", "part", leader.alias("leader"), F.when(leader.isNotNull(), F.col("e") + 1).alias("epoch"))
+
+
+def moved(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Partitions (topic, part) whose node differs between two assignments; a side without the partition is null."""
+    n = new.select("topic", "part", F.col("node").alias("new_node"))
+    both = old.select("topic", "part", F.col("node").alias("old_node")).join(n, ["topic", "part"], "full")
+    return both.where(~F.col("old_node").eqNullSafe(F.col("new_node")))
+
+
+def ensure_epoch(epochs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(part, epoch, start_offset) with each ``wanted`` epoch as its part's newest: later ones go, a known one stays as it is."""
+    w = wanted.select("part", F.col("epoch").alias("_e"), F.col("start_offset").alias("_s"))
+    kept = epochs.join(w, "part", "left").where("_e IS NULL OR epoch <= _e").select("part", "epoch", "start_offset")
+    added = wanted.select("part", "epoch", "start_offset").join(epochs.select("part", "epoch"), ["part", "epoch"], "left_anti")
+    return kept.unionByName(added.select("part", "epoch", "start_offset"))
+
+
 def round_robin(partitions: DataFrame, instances: DataFrame) -> DataFrame:
     """Partition p belongs to the instance at p modulo their number, in order of ids."""
     ranked = instances.withColumn("k", (F.row_number().over(Window.orderBy("instance")) - 1).cast("long")).withColumn("n", F.count("*").over(Window.partitionBy()))

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..api import LogEngine, SchemaInvalid
 from ..functions import scalars as S
 from ..operators import jobs
 from ..operators import maintenance as M
@@ -144,7 +145,32 @@ def sink_immutable_put(spark, sf_dir):
     return spark.createDataFrame(rows, "step string, ok boolean")
 
 
-sink_topic_create = query("sink_topic_create", "SELECT * FROM (VALUES ('first', true), ('same', true), ('other', false)) t(step, ok)")(lambda spark, sf_dir: sink_immutable_put(spark, sf_dir))
+@query("sink_topic_create", "SELECT * FROM (VALUES ('new', true), ('again', true), ('other partitions', false), ('bad field', false)) t(step, ok)")
+def sink_topic_create(spark, sf_dir):
+    """A topic is created once; the same definition again is fine, another one or an invalid one is refused."""
+    engine, rows = LogEngine(spark, _root(spark, "engine")), []
+    fields = [Field("id", "int64", "$.id")]
+    for step, parts, spec in (("new", 2, fields), ("again", 2, fields), ("other partitions", 3, fields), ("bad field", 2, [Field("id", "bytes", "$.id")])):
+        try:
+            engine.create_topic("t" if step != "bad field" else "u", parts, "json", spec)
+            rows.append((step, True))
+        except (Conflict, SchemaInvalid):
+            rows.append((step, False))
+    return spark.createDataFrame(rows, "step string, ok boolean")
+
+
+@query("sink_topic_delete", "SELECT * FROM (VALUES ('a', 0::BIGINT, 0::BIGINT), ('b', 1, 3)) t(topic, found, records)")
+def sink_topic_delete(spark, sf_dir):
+    """A deleted topic is gone with its records; one of its name starts anew, and others stay."""
+    engine = LogEngine(spark, _root(spark, "engine"))
+    rows = spark.range(3).select(F.col("id").cast("string").cast("binary").alias("key"), F.encode(F.col("id").cast("string"), "UTF-8").alias("value"), "id")
+    for name in ("a", "b"):
+        engine.create_topic(name)
+        engine.produce(name, rows, ["id"])
+    engine.delete_topic("a")
+    found = [("a", sum(t == "a" for t in engine.topics())), ("b", sum(t == "b" for t in engine.topics()))]
+    engine.create_topic("a")
+    return spark.createDataFrame([(t, n, engine.log(t).count()) for t, n in found], "topic string, found long, records long")
 
 
 def _table(spark) -> ExportTable:
@@ -246,9 +272,7 @@ def job_store(spark, sf_dir):
     return s.select("part", "base_offset", F.substring(F.sha2(F.concat_ws("|", F.lit("merge"), F.lit("events"), F.col("part").cast("string"), F.col("base_offset").cast("string"), F.col("end_offset").cast("string")), 256), 1, 24).alias("job_id"))
 
 
-def _phases(name: str, kind: str):
-    expected = ", ".join(f"({k}, '{p}')" for k, p in enumerate(jobs.PHASES[kind]))
-
+def _phases(name: str, kind: str, expected: str):
     @query(name, f"SELECT * FROM (VALUES {expected}) t(step, phase)")
     def run(spark, sf_dir):
         rows, phase = [], None
@@ -260,9 +284,9 @@ def _phases(name: str, kind: str):
     return run
 
 
-_phases("job_retention", "retention")
-_phases("job_compaction", "compaction")
-_phases("job_merge_classic", "merge")
+_phases("job_retention", "retention", "(0, 'delete_data'), (1, 'delete_metadata'), (2, 'done')")
+_phases("job_compaction", "compaction", "(0, 'publish_data'), (1, 'publish_metadata'), (2, 'delete_data'), (3, 'done')")
+_phases("job_merge_classic", "merge", "(0, 'publish_data'), (1, 'publish_metadata'), (2, 'delete_data'), (3, 'done')")
 
 
 @query("job_bounded_parallel", w("segments") + "SELECT part, cast(count(*) AS bigint) AS jobs, (count(*) + 3) // 4 AS waves FROM segments GROUP BY part")
@@ -285,8 +309,10 @@ def stream_linger_buffer(spark, sf_dir):
 
 @query("stream_backpressure")
 def stream_backpressure(spark, sf_dir):
-    rows = jobs.admitted(rel(spark, sf_dir, "ev_log"), "record_offset", "nbytes", 200)
-    return rows.groupBy("part", "admitted").agg(F.count("*").alias("n"))
+    """A producer for each event type, each with a buffer for each partition, in order of events."""
+    rows = rel(spark, sf_dir, "ev_log").withColumn("producer", F.col("event_type"))
+    rows = jobs.admitted(rows.select("producer", "part", "event_id", "nbytes"), "producer", "event_id", "nbytes", 200, 150)
+    return rows.groupBy("producer", "part", "admitted").agg(F.count("*").alias("n"))
 
 
 @query("stream_rate_limit")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import fold
+from ..operators import aggregate, fold
 from ..operators import maintenance as M
 from .catalog import query
 from .fixtures import relation as rel
@@ -281,9 +281,12 @@ def join_assignment_members(spark, sf_dir):
     return both.groupBy("grp").agg(F.bool_and(F.expr("x IS NOT NULL AND y IS NOT NULL")).alias("same"))
 
 
-@query("filter_group_state", "SELECT * FROM (VALUES ('b', 'Stable')) t(grp, state)")
+@query("filter_group_state", w("commits") + "SELECT grp, topic FROM commits GROUP BY grp, topic HAVING count(DISTINCT CASE WHEN commit_ord % 7 < 2 THEN part END) < count(DISTINCT part)")
 def filter_group_state(spark, sf_dir):
-    return spark.sql("SELECT * FROM VALUES ('a', 'Empty'), ('b', 'Stable'), ('c', 'Dead') t(grp, state)").where(F.col("state").isin("Stable", "PreparingRebalance"))
+    """Groups in one of the wanted states."""
+    c = rel(spark, sf_dir, "commits")
+    groups = c.groupBy("grp", "topic").agg(F.count_distinct("part").alias("members"), F.count_distinct(F.when(F.col("commit_ord") % 7 < 2, F.col("part"))).alias("assigned"))
+    return aggregate.group_state(groups).where(F.col("state").isin("PreparingRebalance", "Dead")).select("grp", "topic")
 
 
 @query("join_epoch_asof", w("ev_log", "epochs") + "SELECT e.part, e.record_offset, p.epoch FROM ev_log e ASOF JOIN epochs p ON e.part = p.part AND e.record_offset >= p.start_offset")
@@ -298,12 +301,12 @@ def divergence_point(spark, sf_dir):
     return M.divergence(followers, epochs).select("part", "epoch", "follower_offset", "truncate_to")
 
 
-@query("epoch_ensure", w("epochs") + "SELECT part, epoch, start_offset FROM epochs WHERE epoch < 2 UNION ALL SELECT part, 9 AS epoch, 500 AS start_offset FROM epochs GROUP BY part")
+@query("epoch_ensure", w("epochs") + ", n AS (SELECT part, max(epoch) - part % 2 AS epoch, max(start_offset) + 7 - 300 * (part % 2) AS start_offset FROM epochs GROUP BY part) SELECT part, epoch, start_offset FROM epochs WHERE (part, epoch) IN (SELECT part, epoch FROM n) UNION ALL SELECT e.part, e.epoch, e.start_offset FROM epochs e JOIN n USING (part) WHERE e.epoch < n.epoch UNION ALL SELECT part, epoch, start_offset FROM n WHERE (part, epoch) NOT IN (SELECT part, epoch FROM epochs)")
 def epoch_ensure(spark, sf_dir):
-    """Epochs from 2 on are dropped, and epoch 9 starts at 500."""
+    """Each partition's epoch is ensured: later ones go, a known one keeps its start, a new one is added."""
     epochs = rel(spark, sf_dir, "epochs")
-    new = epochs.groupBy("part").agg(F.lit(9).cast("long").alias("epoch"), F.lit(500).cast("long").alias("start_offset"))
-    return epochs.where("epoch < 2").unionByName(new)
+    wanted = epochs.groupBy("part").agg((F.max("epoch") - F.col("part") % 2).alias("epoch"), (F.max("start_offset") + 7 - 300 * (F.col("part") % 2)).alias("start_offset"))
+    return M.ensure_epoch(epochs, wanted)
 
 
 @query("replace_refs", w("refs") + "SELECT part, base_offset, end_offset, file_key FROM refs WHERE NOT (base_offset < 100 AND part = 1) UNION ALL SELECT 1, 0, 100, 'merged'")
@@ -363,9 +366,12 @@ def sort_refs(spark, sf_dir):
     return rel(spark, sf_dir, "refs").select("part", "base_offset", nth.alias("nth"))
 
 
-@query("sort_jobs", w("segments") + "SELECT part, base_offset, created_ms FROM segments ORDER BY created_ms DESC, part, base_offset LIMIT 5")
+@query("sort_jobs", w("segments") + ", j AS (SELECT part, base_offset, created_ms // 3600000 AS updated, substr(sha256(concat('merge|events|', cast(part AS varchar), '|', cast(base_offset AS varchar), '|', cast(end_offset AS varchar))), 1, 24) AS job_id FROM segments) SELECT part, job_id, updated, row_number() OVER (PARTITION BY part ORDER BY updated, job_id) AS nth FROM j")
 def sort_jobs(spark, sf_dir):
-    return rel(spark, sf_dir, "segments").orderBy(F.desc("created_ms"), "part", "base_offset").limit(5).select("part", "base_offset", "created_ms")
+    """All jobs of a partition, the oldest first, ties by id."""
+    parts = [F.lit("merge"), F.lit("events"), *(F.col(c).cast("string") for c in ("part", "base_offset", "end_offset"))]
+    rows = rel(spark, sf_dir, "segments").select("part", F.expr("created_ms div 3600000").alias("updated"), F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 24).alias("job_id"))
+    return rows.withColumn("nth", F.row_number().over(Window.partitionBy("part").orderBy("updated", "job_id")).cast("long"))
 
 
 @query("sort_members", w("commits") + "SELECT grp, min(topic) AS leader FROM commits GROUP BY grp")
@@ -425,12 +431,16 @@ def assign_partitions(spark, sf_dir):
     return M.round_robin(spark.range(5).withColumnRenamed("id", "part"), spark.sql("SELECT * FROM VALUES ('c'), ('a'), ('b') t(instance)"))
 
 
-@query("elect_leader", "SELECT * FROM (VALUES (0, 'n2', 6), (1, 'n1', 4), (2, NULL, NULL)) t(part, leader, epoch)")
+_LEADERS = ", r AS (SELECT topic, part, min(node) AS failed, max(w) % 5 AS e FROM windows GROUP BY topic, part)"
+
+
+@query("elect_leader", w("windows") + _LEADERS + " SELECT topic, part, CASE WHEN part % 4 <> 3 THEN 'n' || cast((part % 3 + 1) % 3 AS varchar) END AS leader, CASE WHEN part % 4 <> 3 THEN e + 1 END AS epoch FROM r")
 def elect_leader(spark, sf_dir):
-    """The first in-sync replica that has not failed, in a new epoch."""
-    rows = spark.sql("SELECT * FROM VALUES (0, array('n1', 'n2'), 'n1', 5), (1, array('n1', 'n3'), 'n3', 3), (2, array('n4'), 'n4', 1) t(part, isr, failed, e)")
-    leader = F.try_element_at(F.filter("isr", lambda x: x != F.col("failed")), F.lit(1))
-    return rows.select("part", leader.alias("leader"), F.when(leader.isNotNull(), F.col("e") + 1).alias("epoch"))
+    """The first in-sync replica that has not failed, in a new epoch; the last partition has only one replica."""
+    rows = rel(spark, sf_dir, "windows").groupBy("topic", "part").agg(F.min("node").alias("failed"), (F.max("w") % 5).alias("e"))
+    other = F.concat(F.lit("n"), (F.col("part") % 3 + 1) % 3)
+    isr = F.when(F.col("part") % 4 == 3, F.array("failed")).otherwise(F.array("failed", other))
+    return M.elect(rows.withColumn("isr", isr))
 
 
 @query("topic_configs", "SELECT * FROM (VALUES ('t', 'retention.ms', '1000'), ('t', 'min.insync.replicas', '2'), ('t', 'cleanup.policy', 'delete')) t(topic, name, value)")
@@ -440,6 +450,20 @@ def topic_configs(spark, sf_dir):
     return rows.select("topic", F.explode(changed).alias("name", "value"))
 
 
+@query("assign_replicated")
+def assign_replicated(spark, sf_dir):
+    """Three instances, one of them new; topics have two replicas a partition, some of them assigned before."""
+    windows = rel(spark, sf_dir, "windows")
+    before = windows.groupBy("topic", "part").agg(F.min("node").alias("leader"), F.max("w").alias("epoch")).withColumn("replicas", F.when(F.col("part") < 3, F.array("leader", F.lit("n1"))))
+    return M.assign_replicated(before, spark.sql("SELECT * FROM VALUES ('n1'), ('n2'), ('n3') t(instance)"), 2).withColumn("replicas", F.array_join("replicas", ","))
+
+
+@query("assign_diskless", w("windows") + ", b AS (SELECT topic, part, min(node) AS leader, max(w) AS epoch FROM windows GROUP BY 1, 2) SELECT topic, part, 'n' || cast(part % 2 + 1 AS varchar) AS leader, CASE WHEN leader = 'n' || cast(part % 2 + 1 AS varchar) THEN epoch ELSE epoch + 1 END AS epoch FROM b")
+def assign_diskless(spark, sf_dir):
+    before = rel(spark, sf_dir, "windows").groupBy("topic", "part").agg(F.min("node").alias("leader"), F.max("w").alias("epoch"))
+    return M.assign_diskless(before, spark.sql("SELECT * FROM VALUES ('n2'), ('n1') t(instance)"))
+
+
 @query("config_filter", "SELECT * FROM (VALUES ('t', 'retention.ms', '1000')) t(topic, name, value)")
 def config_filter(spark, sf_dir):
     return topic_configs(spark, sf_dir).where(F.col("name").isin("retention.ms", "unknown"))
@@ -456,10 +480,13 @@ def group_delete_describe(spark, sf_dir):
     return spark.sql("SELECT * FROM VALUES ('a', 0), ('b', 2) t(grp, members)").select("grp", (F.col("members") == 0).alias("deletable"))
 
 
-@query("routing_map", "SELECT * FROM (VALUES (0, 'h1:1'), (1, 'h2:2'), (2, NULL)) t(part, address)")
+@query("routing_map", w("windows") + "SELECT topic, part, CASE WHEN min(node) <> 'n2' THEN 'host-' || min(node) || ':90' || substr(min(node), 2) END AS address FROM windows GROUP BY topic, part")
 def routing_map(spark, sf_dir):
-    leaders = spark.sql("SELECT * FROM VALUES (0, 'n1'), (1, 'n2'), (2, 'n9') t(part, node)")
-    return leaders.join(F.broadcast(spark.sql("SELECT * FROM VALUES ('n1', 'h1:1'), ('n2', 'h2:2') t(node, address)")), "node", "left").select("part", "address")
+    """Each partition's leader by its address; a leader that is not registered has none."""
+    windows = rel(spark, sf_dir, "windows")
+    leaders = windows.groupBy("topic", "part").agg(F.min("node").alias("node"))
+    known = windows.select("node").distinct().where("node <> 'n2'").withColumn("address", F.concat(F.lit("host-"), "node", F.lit(":90"), F.substring("node", 2, 9)))
+    return leaders.join(known, "node", "left").select("topic", "part", "address")
 
 
 @query("cluster_status", w("produced") + "SELECT node, cast(count(*) AS bigint) AS ops, bool_or(NOT ok) AS failing FROM produced GROUP BY node")
@@ -467,10 +494,12 @@ def cluster_status(spark, sf_dir):
     return rel(spark, sf_dir, "produced").groupBy("node").agg(F.count("*").alias("ops"), F.bool_or(~F.col("ok")).alias("failing"))
 
 
-@query("assignments_diff", "SELECT * FROM (VALUES (1, 'b', 'old'), (1, 'c', 'new')) t(part, node, side)")
+@query("assignments_diff", w("windows") + ", o AS (SELECT topic, part, min(node) AS node FROM windows GROUP BY 1, 2), n AS (SELECT topic, part, 'n' || cast((part + CASE WHEN topic < 'd' THEN 0 ELSE 1 END) % 3 AS varchar) AS node FROM o) SELECT o.topic, o.part, o.node AS old_node, n.node AS new_node FROM o JOIN n USING (topic, part) WHERE o.node <> n.node")
 def assignments_diff(spark, sf_dir):
-    old, new = spark.sql("SELECT * FROM VALUES (0, 'a'), (1, 'b') t(part, node)"), spark.sql("SELECT * FROM VALUES (0, 'a'), (1, 'c') t(part, node)")
-    return old.exceptAll(new).withColumn("side", F.lit("old")).unionByName(new.exceptAll(old).withColumn("side", F.lit("new")))
+    """Partitions whose node changes between two assignments; topics from 'd' on move by one."""
+    old = rel(spark, sf_dir, "windows").groupBy("topic", "part").agg(F.min("node").alias("node"))
+    new = old.withColumn("node", F.concat(F.lit("n"), (F.col("part") + F.when(F.col("topic") < "d", 0).otherwise(1)) % 3))
+    return M.moved(old, new)
 
 
 @query("isr_lag", w("observed") + ", l AS (SELECT part, node, max(ord) AS seen FROM observed GROUP BY 1, 2) SELECT part, node FROM l WHERE seen >= (SELECT max(ord) FROM observed) - 40")
