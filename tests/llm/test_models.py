@@ -40,12 +40,29 @@ def test_quality(spark, documents, odd_rows):
     assert quality.classify(documents([]), none, fold, quality.PositiveUnlabelled(epochs=1)).collect() == []
 
 
+def test_prior_from_positives_and_unlabelled():
+    """Rows of two kinds that overlap a little; the prior is found without any label of the second kind."""
+    rng = np.random.default_rng(4)
+    x = lambda n, shift: (rng.normal(0, 1, (n, quality.WIDTH)) + shift * (np.arange(quality.WIDTH) < 60)).astype(np.float32)
+    for prior in (0.3, 0.7):
+        unlabelled = np.concatenate([x(int(2000 * prior), 1.0), x(2000 - int(2000 * prior), -1.0)])
+        got = quality.estimate_prior(x(1000, 1.0), unlabelled[rng.permutation(2000)], quality.PositiveUnlabelled(epochs=15))
+        assert abs(got - prior) < 0.08
+
+
+def test_quality_of_one_id_with_many_texts(spark, documents):
+    rows = [(1, f"words {k} " * 9) for k in range(2000)] + [(None, "no id")] * 2000 + [(k, "good words only") for k in range(2, 40)]
+    table = spark.createDataFrame([(1, 1, 1)] + [(k, k % 2, 0) for k in range(2, 40)], LABELS)
+    got = quality.classify(documents(rows), table, queries.fold(3, 1), quality.PositiveUnlabelled(epochs=1)).collect()
+    assert len(got) == 4038
+
+
 def test_repetition_late_in_a_text():
     fresh = " ".join(f"{a}{b}" for a in WORDS for b in WORDS[:20])
     late = " ".join(fresh.split()[:200] + ["again"] * 200)
     x, y = quality.features(pa.array([" ".join(fresh.split()[:400]), late]))
-    assert y[-4] < 0.7 * x[-4]  # over all stretches
-    assert y[-1] == np.float32(1 / 200) < x[-1]  # the least of them
+    assert y[quality._TAIL + 5] < 0.7 * x[quality._TAIL + 5]  # over all stretches
+    assert y[quality._TAIL + 8] == np.float32(1 / 200) < x[quality._TAIL + 8]  # the least of them
     distinct, size = quality._distinct(np.array([1, 1, 2] * 150))
     assert distinct.tolist() == [2, 2, 2] and size.tolist() == [200, 200, 50]
 
