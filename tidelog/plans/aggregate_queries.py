@@ -183,7 +183,7 @@ def bench_committed_count(spark, sf_dir):
     return rel(spark, sf_dir, "ends").agg(F.sum("hw").alias("committed"))
 
 
-_GROUPS = "SELECT grp, topic, cast(count(DISTINCT part) AS bigint) AS members, cast(count(DISTINCT CASE WHEN commit_ord % 7 < 2 THEN part END) AS bigint) AS assigned FROM commits GROUP BY grp, topic UNION ALL SELECT DISTINCT concat(grp, '-new') AS grp, topic, 0 AS members, 0 AS assigned FROM commits"
+_GROUPS = "SELECT grp, topic, cast(count(DISTINCT part) AS bigint) AS members, cast(count(DISTINCT CASE WHEN grp = 'g0' OR part <> 2 THEN part END) AS bigint) AS assigned FROM commits GROUP BY grp, topic UNION ALL SELECT DISTINCT concat(grp, '-new') AS grp, topic, 0 AS members, 0 AS assigned FROM commits"
 
 
 @query("agg_group_state", w("commits") + f", g AS ({_GROUPS}) SELECT *, CASE WHEN members = 0 THEN 'Empty' WHEN assigned < members THEN 'PreparingRebalance' ELSE 'Stable' END AS state FROM g")
@@ -194,15 +194,15 @@ def agg_group_state(spark, sf_dir):
 
 def _groups(spark, sf_dir):
     c = rel(spark, sf_dir, "commits")
-    some = c.groupBy("grp", "topic").agg(F.count_distinct("part").alias("members"), F.count_distinct(F.when(F.col("commit_ord") % 7 < 2, F.col("part"))).alias("assigned"))
+    some = c.groupBy("grp", "topic").agg(F.count_distinct("part").alias("members"), F.count_distinct(F.when((F.col("grp") == "g0") | (F.col("part") != 2), F.col("part"))).alias("assigned"))
     new = c.select(F.concat("grp", F.lit("-new")).alias("grp"), "topic", F.lit(0).cast("long").alias("members"), F.lit(0).cast("long").alias("assigned")).distinct()
     return some.unionByName(new)
 
 
-@query("agg_cluster_readiness", w("produced") + ", c AS (SELECT part, record_offset // 100 AS w, cast(count(DISTINCT CASE WHEN record_offset % 700 >= 100 THEN node END) AS bigint) AS active, cast(count(DISTINCT CASE WHEN record_offset % 700 >= 100 AND record_offset % 100 < 97 THEN node END) AS bigint) AS ready, cast(count(DISTINCT process) AS bigint) AS assigned, cast(count(DISTINCT CASE WHEN ok THEN process END) AS bigint) AS initialized, 2::BIGINT AS expected FROM produced GROUP BY 1, 2) SELECT *, CASE WHEN active = 0 THEN 'unavailable' WHEN assigned <> 2 OR initialized <> 2 THEN 'rebalancing' WHEN active <> ready THEN 'degraded' ELSE 'ready' END AS state FROM c")
+@query("agg_cluster_readiness", w("produced") + ", c AS (SELECT part, record_offset // 100 AS w, cast(count(DISTINCT CASE WHEN record_offset % 700 >= 100 THEN node END) AS bigint) AS active, cast(count(DISTINCT CASE WHEN record_offset % 700 >= 100 AND NOT (record_offset % 500 // 100 = 2 AND node = 'n1') THEN node END) AS bigint) AS ready, cast(count(DISTINCT process) AS bigint) AS assigned, cast(count(DISTINCT CASE WHEN ok THEN process END) AS bigint) AS initialized, 8::BIGINT AS expected FROM produced GROUP BY 1, 2) SELECT *, CASE WHEN active = 0 THEN 'unavailable' WHEN assigned <> 8 OR initialized <> 8 THEN 'rebalancing' WHEN active <> ready THEN 'degraded' ELSE 'ready' END AS state FROM c")
 def agg_cluster_readiness(spark, sf_dir):
-    """Windows of 100 records: their nodes are instances, their processes partitions, of which two are expected."""
+    """Windows of 100 records: their nodes are instances, their processes partitions, of which eight are expected."""
     o = F.col("record_offset")
     active = o % 700 >= 100
-    rows = rel(spark, sf_dir, "produced").groupBy("part", F.expr("record_offset div 100").alias("w")).agg(F.count_distinct(F.when(active, F.col("node"))).alias("active"), F.count_distinct(F.when(active & (o % 100 < 97), F.col("node"))).alias("ready"), F.count_distinct("process").alias("assigned"), F.count_distinct(F.when(F.col("ok"), F.col("process"))).alias("initialized"))
-    return A.cluster_state(rows.withColumn("expected", F.lit(2).cast("long")))
+    rows = rel(spark, sf_dir, "produced").groupBy("part", F.expr("record_offset div 100").alias("w")).agg(F.count_distinct(F.when(active, F.col("node"))).alias("active"), F.count_distinct(F.when(active & ~((F.floor(o % 500 / 100) == 2) & (F.col("node") == "n1")), F.col("node"))).alias("ready"), F.count_distinct("process").alias("assigned"), F.count_distinct(F.when(F.col("ok"), F.col("process"))).alias("initialized"))
+    return A.cluster_state(rows.withColumn("expected", F.lit(8).cast("long")))

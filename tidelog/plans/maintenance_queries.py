@@ -281,11 +281,11 @@ def join_assignment_members(spark, sf_dir):
     return both.groupBy("grp").agg(F.bool_and(F.expr("x IS NOT NULL AND y IS NOT NULL")).alias("same"))
 
 
-@query("filter_group_state", w("commits") + "SELECT grp, topic FROM commits GROUP BY grp, topic HAVING count(DISTINCT CASE WHEN commit_ord % 7 < 2 THEN part END) < count(DISTINCT part)")
+@query("filter_group_state", w("commits") + "SELECT grp, topic FROM commits GROUP BY grp, topic HAVING count(DISTINCT CASE WHEN grp = 'g0' OR part <> 2 THEN part END) < count(DISTINCT part)")
 def filter_group_state(spark, sf_dir):
     """Groups in one of the wanted states."""
     c = rel(spark, sf_dir, "commits")
-    groups = c.groupBy("grp", "topic").agg(F.count_distinct("part").alias("members"), F.count_distinct(F.when(F.col("commit_ord") % 7 < 2, F.col("part"))).alias("assigned"))
+    groups = c.groupBy("grp", "topic").agg(F.count_distinct("part").alias("members"), F.count_distinct(F.when((F.col("grp") == "g0") | (F.col("part") != 2), F.col("part"))).alias("assigned"))
     return aggregate.group_state(groups).where(F.col("state").isin("PreparingRebalance", "Dead")).select("grp", "topic")
 
 
