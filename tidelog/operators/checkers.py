@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .small import small
+
 
 def data_loss(acked: DataFrame, drained: DataFrame) -> DataFrame:
     """Acknowledged (part, record_offset) that the drain lacks."""
@@ -31,7 +33,7 @@ def drain_coverage(drained: DataFrame, partitions: int) -> DataFrame:
 
 
 def ghost_reads(reads: DataFrame, ends: DataFrame) -> DataFrame:
-    return reads.join(F.broadcast(ends.select("part", "hw")), "part").where("record_offset >= hw").drop("hw")
+    return reads.join(small(ends.select("part", "hw")), "part").where("record_offset >= hw").drop("hw")
 
 
 def unseen_writes(produced: DataFrame, consumed: DataFrame) -> DataFrame:
@@ -40,16 +42,24 @@ def unseen_writes(produced: DataFrame, consumed: DataFrame) -> DataFrame:
     Later reads are known from each partition's last one, so the inequality join is an equi-join on partitions.
     """
     last = consumed.groupBy("part").agg(F.max("op_time").alias("last_read"))
-    later = produced.join(F.broadcast(last), "part").where("last_read > op_time").drop("last_read")
+    later = produced.join(small(last), "part").where("last_read > op_time").drop("last_read")
     return later.join(consumed.select("part", "op_key"), ["part", "op_key"], "left_anti")
 
 
-def recovery_time(faults: DataFrame, ok_ops: DataFrame) -> DataFrame:
-    """For each fault the time to the next successful operation, by one ordered pass over both within each node."""
+def recovery_time(faults: DataFrame, ok_ops: DataFrame, block: int = 3_600_000) -> DataFrame:
+    """For each fault the time to the next successful operation of its node; a fault without one has no row.
+
+    Rows are ordered within blocks of ``block`` milliseconds, so no task orders a whole node. A fault without a success
+    left in its block takes the first success of the next block that has one. A success at a fault's own time counts.
+    """
     both = faults.select("node", F.col("op_time").alias("t"), F.lit(1).alias("fault")).unionByName(ok_ops.select("node", F.col("op_time").alias("t"), F.lit(0).alias("fault")))
-    after = Window.partitionBy("node").orderBy("t", F.desc("fault")).rowsBetween(1, Window.unboundedFollowing)
-    following = F.first(F.when(F.col("fault") == 0, F.col("t")), ignorenulls=True).over(after)
-    return both.withColumn("next_ok", following).where("fault = 1 AND next_ok IS NOT NULL").select("node", (F.col("next_ok") - F.col("t")).alias("recovery"))
+    both = both.withColumn("block", F.floor(F.col("t") / block)).withColumn("ok_at", F.when(F.col("fault") == 0, F.col("t")))
+    # backwards in time, so that the frame grows by a row at a time
+    within = Window.partitionBy("node", "block").orderBy(F.desc("t"), "fault").rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy("node").orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = both.groupBy("node", "block").agg(F.min("ok_at").alias("first_ok")).select("node", "block", F.last("first_ok", ignorenulls=True).over(after).alias("later"))
+    found = both.withColumn("next_ok", F.last("ok_at", ignorenulls=True).over(within)).where("fault = 1").join(blocks, ["node", "block"])
+    return found.select("node", (F.coalesce("next_ok", "later") - F.col("t")).alias("recovery")).where("recovery IS NOT NULL")
 
 
 def monotonic(rows: DataFrame, value: str, order: str, *by: str) -> DataFrame:

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .small import small
+
 from .fold import ordered_fold
 
 
 def assign_offsets(rows: DataFrame, heads: DataFrame, order: list[str]) -> DataFrame:
     """Dense offsets in arrival order behind each partition's head. ``heads``: part, next_offset."""
     n = F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1
-    return rows.join(F.broadcast(heads.select("part", "next_offset")), "part", "left").withColumn("assigned", F.coalesce("next_offset", F.lit(0).cast("long")) + n).drop("next_offset")
+    return rows.join(small(heads.select("part", "next_offset")), "part", "left").withColumn("assigned", F.coalesce("next_offset", F.lit(0).cast("long")) + n).drop("next_offset")
 
 
 def assign_ref_offsets(batches: DataFrame, order: str) -> DataFrame:
@@ -31,7 +33,7 @@ def expired_segments(segments: DataFrame, checkpoints: DataFrame, cutoff_ms: int
     old = segments.where(F.col("created_ms") <= cutoff_ms)
     if not exporting:
         return old
-    marks = F.broadcast(checkpoints.select("part", F.col("next_offset").alias("_next")))
+    marks = small(checkpoints.select("part", F.col("next_offset").alias("_next")))
     return old.join(marks, "part", "left").where(F.col("end_offset") <= F.coalesce("_next", F.lit(0)) - 1).drop("_next")
 
 
@@ -42,7 +44,7 @@ def expired_files(refs: DataFrame, cutoff_ms: int) -> DataFrame:
 
 def exported_files(refs: DataFrame, checkpoints: DataFrame) -> DataFrame:
     """Files all of whose references lie before their partition's export boundary."""
-    marks = F.broadcast(checkpoints.select("part", F.col("next_offset").alias("_next")))
+    marks = small(checkpoints.select("part", F.col("next_offset").alias("_next")))
     done = F.col("end_offset") <= F.coalesce("_next", F.lit(0))
     return refs.join(marks, "part", "left").groupBy("file_key").agg(F.bool_and(done).alias("done")).where("done").select("file_key")
 
@@ -97,7 +99,7 @@ def adjacent_pair(segments: DataFrame) -> DataFrame:
 
 def archive_run(refs: DataFrame, below: DataFrame) -> DataFrame:
     """The leading run of references that end at or before their partition's boundary."""
-    marked = refs.join(F.broadcast(below.select("part", "next_offset")), "part").withColumn("_ok", F.col("end_offset") <= F.col("next_offset"))
+    marked = refs.join(small(below.select("part", "next_offset")), "part").withColumn("_ok", F.col("end_offset") <= F.col("next_offset"))
     lead = F.bool_and("_ok").over(Window.partitionBy("part").orderBy("base_offset").rowsBetween(Window.unboundedPreceding, 0))
     return marked.withColumn("_lead", lead).where("_lead").drop("_ok", "_lead", "next_offset")
 

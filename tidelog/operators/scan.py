@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .small import small
+
 MAX_HTTP_LIMIT, MAX_HTTP_PAGE, DEFAULT_HTTP_LIMIT = 20_000, 1_000, 100
 EARLIEST, LATEST, LATEST_TIERED = -2, -1, -4
 
@@ -32,7 +34,7 @@ def contiguous_prefix(rows: DataFrame, start: Column | None = None) -> DataFrame
 
 def committed(log: DataFrame, ends: DataFrame) -> DataFrame:
     """Rows below their partition's high watermark. ``ends``: part, hw."""
-    return log.join(F.broadcast(ends.select("part", "hw")), "part").where(F.col("record_offset") < F.col("hw")).drop("hw")
+    return log.join(small(ends.select("part", "hw")), "part").where(F.col("record_offset") < F.col("hw")).drop("hw")
 
 
 def read_committed(log: DataFrame, part: int, start: int, high_watermark: int, limit: int) -> DataFrame:
@@ -89,7 +91,7 @@ def lowest_offsets(rows: DataFrame, part: int, limit: int) -> DataFrame:
 
 def list_offsets(log: DataFrame, ends: DataFrame) -> DataFrame:
     found = log.groupBy("part").agg(F.min("record_offset").alias("earliest"), (F.max("record_offset") + 1).alias("latest"))
-    return found.join(F.broadcast(ends.select("part", "hw")), "part", "left")
+    return found.join(small(ends.select("part", "hw")), "part", "left")
 
 
 def seek_timestamp(log: DataFrame, ts: int, parts: DataFrame | None = None) -> DataFrame:
@@ -97,7 +99,7 @@ def seek_timestamp(log: DataFrame, ts: int, parts: DataFrame | None = None) -> D
     found = log.where(F.col("record_timestamp") >= ts).groupBy("part").agg(F.min("record_offset").alias("record_offset"))
     if parts is None:
         return found
-    return parts.select("part").join(F.broadcast(found), "part", "left").select("part", F.coalesce("record_offset", F.lit(-1).cast("long")).alias("record_offset"))
+    return parts.select("part").join(small(found), "part", "left").select("part", F.coalesce("record_offset", F.lit(-1).cast("long")).alias("record_offset"))
 
 
 def bounds(segments: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import aggregate as A
+from ..operators.small import small
 from .catalog import query
 from .fixtures import relation as rel
 from .fixtures import with_clause as w
@@ -73,7 +74,7 @@ def w_run_sequence(spark, sf_dir):
 @query("agg_delay", w("ends", "checkpoints", "ev_log") + ", l AS (SELECT part, max(record_timestamp) AS produced FROM ev_log GROUP BY part), c AS (SELECT e.part, max(record_timestamp) AS exported FROM ev_log e JOIN checkpoints k USING (part) WHERE record_offset < next_offset GROUP BY e.part) SELECT part, produced - exported AS export_delay, greatest(produced - exported, 100) AS commit_delay FROM l JOIN c USING (part)")
 def agg_delay(spark, sf_dir):
     log, marks = rel(spark, sf_dir, "ev_log"), rel(spark, sf_dir, "checkpoints")
-    both = log.join(F.broadcast(marks.select("part", "next_offset")), "part").groupBy("part").agg((F.max("record_timestamp") - F.max(F.expr("CASE WHEN record_offset < next_offset THEN record_timestamp END"))).alias("export_delay"))
+    both = log.join(small(marks.select("part", "next_offset")), "part").groupBy("part").agg((F.max("record_timestamp") - F.max(F.expr("CASE WHEN record_offset < next_offset THEN record_timestamp END"))).alias("export_delay"))
     return both.withColumn("commit_delay", F.greatest("export_delay", F.lit(100).cast("long")))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import aggregate, fold
 from ..operators import maintenance as M
+from ..operators.small import small
 from .catalog import query
 from .fixtures import relation as rel
 from .fixtures import with_clause as w
@@ -19,10 +20,10 @@ def w_assign_offsets(spark, sf_dir):
     return M.assign_offsets(rel(spark, sf_dir, "ev_log"), rel(spark, sf_dir, "checkpoints"), ["record_timestamp", "event_id"]).select("event_id", "part", "assigned")
 
 
-@query("sink_append", w("ev_log", "ends") + "SELECT e.part, min(e2.log_end) AS base_offset, cast(count(*) AS bigint) AS n, min(e2.log_end) + count(*) AS next_offset FROM ev_log e JOIN ends e2 USING (part) WHERE event_id % 3 = 0 GROUP BY e.part")
+@query("sink_append", w("ev_log", "ends") + "SELECT e.part, min(e2.log_end) AS base_offset, cast(count(*) AS bigint) AS n, min(e2.log_end) + count(*) AS next_offset FROM ev_log e JOIN ends e2 USING (part) GROUP BY e.part")
 def sink_append(spark, sf_dir):
     heads = rel(spark, sf_dir, "ends").select("part", F.col("log_end").alias("next_offset"))
-    rows = M.assign_offsets(rel(spark, sf_dir, "ev_log").where("event_id % 3 = 0"), heads, ["event_id"])
+    rows = M.assign_offsets(rel(spark, sf_dir, "ev_log"), heads, ["event_id"])
     return rows.groupBy("part").agg(F.min("assigned").alias("base_offset"), F.count("*").alias("n"), (F.max("assigned") + 1).alias("next_offset"))
 
 
@@ -147,7 +148,7 @@ def filter_retention_classic(spark, sf_dir):
 @query("retention_gate", w("segments", "checkpoints") + f"SELECT s.part, bool_and(s.end_offset <= coalesce(c.next_offset, 0) - 1) AS may_run FROM segments s LEFT JOIN checkpoints c USING (part) WHERE s.created_ms <= {_T} GROUP BY s.part")
 def retention_gate(spark, sf_dir):
     old = M.expired_segments(rel(spark, sf_dir, "segments"), None, _T, False)
-    both = old.join(F.broadcast(rel(spark, sf_dir, "checkpoints").select("part", "next_offset")), "part", "left")
+    both = old.join(small(rel(spark, sf_dir, "checkpoints").select("part", "next_offset")), "part", "left")
     return both.groupBy("part").agg(F.bool_and(F.expr("end_offset <= coalesce(next_offset, 0) - 1")).alias("may_run"))
 
 
@@ -169,7 +170,7 @@ def filter_exported(spark, sf_dir):
 
 @query("join_refs_checkpoint", w("refs", "checkpoints") + "SELECT r.part, r.base_offset, coalesce(c.next_offset, 0) - r.end_offset AS slack FROM refs r LEFT JOIN (SELECT * FROM checkpoints WHERE part <> 2) c USING (part)")
 def join_refs_checkpoint(spark, sf_dir):
-    marks = F.broadcast(rel(spark, sf_dir, "checkpoints").where("part <> 2").select("part", "next_offset"))
+    marks = small(rel(spark, sf_dir, "checkpoints").where("part <> 2").select("part", "next_offset"))
     return rel(spark, sf_dir, "refs").join(marks, "part", "left").select("part", "base_offset", F.expr("coalesce(next_offset, 0) - end_offset").alias("slack"))
 
 
@@ -220,7 +221,7 @@ def anti_orphan_checkpoints(spark, sf_dir):
     """Objects of a chain that no head reaches: here the two written last in each partition."""
     b = rel(spark, sf_dir, "batches").select("part", "batch_no")
     heads = b.groupBy("part").agg((F.max("batch_no") - 2).alias("head"))
-    reached = b.join(F.broadcast(heads), "part").where("batch_no <= head").select("part", "batch_no")
+    reached = b.join(small(heads), "part").where("batch_no <= head").select("part", "batch_no")
     return b.join(reached, ["part", "batch_no"], "left_anti")
 
 

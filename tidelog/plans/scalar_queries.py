@@ -76,19 +76,10 @@ def segment_key_parse(spark, sf_dir):
     return keys.withColumn("k", S.parse_segment_key(F.col("segment_key"))).select("segment_key", "k.*")
 
 
-@query("flush_key_parse", w("ev_log") + "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE record_timestamp END AS upload_ms FROM ev_log WHERE event_id % 11 = 0")
+@query("flush_key_parse", w("ev_log") + "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE record_timestamp END AS upload_ms FROM ev_log")
 def flush_key_parse(spark, sf_dir):
-    return _flush_keys(rel(spark, sf_dir, "ev_log").where("event_id % 11 = 0"))
-
-
-@query("flush_key_parse_all")
-def flush_key_parse_all(spark, sf_dir):
-    return _flush_keys(rel(spark, sf_dir, "ev_log"))
-
-
-def _flush_keys(rows):
     key = F.concat(F.lit("node-a-"), F.col("record_timestamp").cast("string"), F.lit("-7"), F.when(F.col("event_id") % 5 == 0, ".tmp").otherwise(".data"))
-    return rows.select("event_id", S.flush_upload_ms(key).alias("upload_ms"))
+    return rel(spark, sf_dir, "ev_log").select("event_id", S.flush_upload_ms(key).alias("upload_ms"))
 
 
 @query("partition_key_parse", "SELECT * FROM (VALUES ('a#b#3', 'a#b', 3), ('t#0', 't', 0), ('bad', '', NULL)) t(k, topic, part)")

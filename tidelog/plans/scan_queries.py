@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import scan
+from ..operators.small import small
 from .catalog import query
 from .fixtures import relation as rel
 from .fixtures import with_clause as w
@@ -41,7 +42,7 @@ def validate_committed_range(spark, sf_dir):
 
 @query("scan_raw_batches", w("batches", "ends") + ", r AS (SELECT b.*, sum(nbytes) OVER (PARTITION BY b.part ORDER BY first_offset) AS s, row_number() OVER (PARTITION BY b.part ORDER BY first_offset) AS n FROM batches b JOIN ends USING (part) WHERE last_offset < hw AND last_offset >= 15) SELECT part, first_offset, last_offset, nbytes FROM r WHERE s <= 3000 OR n = 1")
 def scan_raw_batches(spark, sf_dir):
-    batches = rel(spark, sf_dir, "batches").join(F.broadcast(rel(spark, sf_dir, "ends").select("part", "hw")), "part").where("last_offset < hw AND last_offset >= 15")
+    batches = rel(spark, sf_dir, "batches").join(small(rel(spark, sf_dir, "ends").select("part", "hw")), "part").where("last_offset < hw AND last_offset >= 15")
     return scan.byte_budget(batches, "nbytes", 3000, "first_offset", "part").select("part", "first_offset", "last_offset", "nbytes")
 
 
@@ -69,7 +70,7 @@ def scan_consume_diskless(spark, sf_dir):
 
 @query("scan_diskless_fetch", w("refs", "ends") + ", r AS (SELECT refs.*, sum(byte_length) OVER (PARTITION BY part ORDER BY base_offset) AS s, row_number() OVER (PARTITION BY part ORDER BY base_offset) AS n FROM refs JOIN ends USING (part) WHERE end_offset > 60 AND end_offset <= hw) SELECT part, file_key, base_offset, end_offset FROM r WHERE s <= 6000 OR n = 1")
 def scan_diskless_fetch(spark, sf_dir):
-    refs = rel(spark, sf_dir, "refs").join(F.broadcast(rel(spark, sf_dir, "ends").select("part", "hw")), "part").where("end_offset > 60 AND end_offset <= hw")
+    refs = rel(spark, sf_dir, "refs").join(small(rel(spark, sf_dir, "ends").select("part", "hw")), "part").where("end_offset > 60 AND end_offset <= hw")
     return scan.byte_budget(refs, "byte_length", 6000, "base_offset", "part").select("part", "file_key", "base_offset", "end_offset")
 
 
@@ -114,18 +115,9 @@ def filter_ts_segment(spark, sf_dir):
     return rel(spark, sf_dir, "segments").where(F.col("max_timestamp") >= _T).groupBy("part").agg(F.min("base_offset").alias("base_offset"))
 
 
-@query("index_lookup", w("ev_log", "segments") + "SELECT e.part, e.record_offset, s.base_offset, s.end_offset FROM ev_log e JOIN segments s ON e.part = s.part AND e.record_offset BETWEEN s.base_offset AND s.end_offset WHERE e.event_id % 23 = 0")
+@query("index_lookup", w("ev_log", "segments") + "SELECT e.part, e.record_offset, s.base_offset, s.end_offset FROM ev_log e JOIN segments s ON e.part = s.part AND e.record_offset BETWEEN s.base_offset AND s.end_offset")
 def index_lookup(spark, sf_dir):
-    return _lookup(spark, sf_dir, rel(spark, sf_dir, "ev_log").where("event_id % 23 = 0"))
-
-
-@query("index_lookup_all")
-def index_lookup_all(spark, sf_dir):
-    return _lookup(spark, sf_dir, rel(spark, sf_dir, "ev_log"))
-
-
-def _lookup(spark, sf_dir, rows):
-    return scan.locate(rows.select("part", "record_offset"), rel(spark, sf_dir, "segments").select("part", "base_offset", "end_offset"), 100)
+    return scan.locate(rel(spark, sf_dir, "ev_log").select("part", "record_offset"), rel(spark, sf_dir, "segments").select("part", "base_offset", "end_offset"), 100)
 
 
 @query("join_offset_to_segment", w("ev_log", "segments") + "SELECT s.part, s.base_offset, cast(count(*) AS bigint) AS n FROM ev_log e JOIN segments s ON e.part = s.part AND e.record_offset BETWEEN s.base_offset AND s.end_offset GROUP BY 1, 2")
