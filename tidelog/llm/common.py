@@ -20,11 +20,13 @@ _RADIX, _SEQ = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95  # odd multipliers
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a temporary one only where it is unset, as in tests."""
+    """The folder all executors share: spark.checkpoint.dir; a temporary one only where it is unset in a local session, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         kept = spark.sparkContext._jsc.sc().getCheckpointDir()
         if kept.isEmpty():
+            if spark.sparkContext.master.split("[")[0] != "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidelog-"))
             kept = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = kept.get()
