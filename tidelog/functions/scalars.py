@@ -141,3 +141,10 @@ def key_component_ok(name: Column) -> Column:
 
 def arrival_number(order: str, *parts: str) -> Column:
     return (F.row_number().over(Window.partitionBy(*parts).orderBy(order)) - 1).cast("long")
+
+
+def patched_batch(raw: Column, base_offset: Column, leader_epoch: Column) -> Column:
+    """A record batch with another base offset and leader epoch: bytes 0 to 7 and 12 to 15, which no checksum covers."""
+    wide = lambda n: F.lpad(F.hex(n.cast("long")), 16, "0")
+    rest = F.substring(raw, F.lit(17), F.length(raw))
+    return F.concat(F.unhex(wide(base_offset)), F.substring(raw, 9, 4), F.unhex(F.substring(wide(leader_epoch), 9, 8)), rest)

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import scalars as S
 from ..operators import maintenance as M
 from ..sources import recordbatch as R
 from ..sources.values import Field, avro_schema, decoded, encode_avro, encode_protobuf, envelope
@@ -133,6 +135,25 @@ def batch_crc(spark, sf_dir):
     return _batched(spark, sf_dir).select("part", "batch_no", ok(damaged).alias("ok"))
 
 
+@query("batch_patch", w("batches", "refs") + "SELECT b.part, b.batch_no, b.first_offset AS patched, b.first_offset + b.record_count - 1 AS last_record, cast(b.part + 3 AS bigint) AS epoch, true AS ok FROM batches b JOIN refs r ON b.part = r.part AND b.first_offset >= r.base_offset AND b.first_offset < r.end_offset")
+def batch_patch(spark, sf_dir):
+    """Stored batches get their ref's base and a running count as base offset, in their bytes, and are decoded again."""
+
+    def run(batches):
+        for pdf in batches:
+            found = [R.header(bytes(x)) for x in pdf["raw"]]
+            last = [R.decode(bytes(x)).records[-1].offset for x in pdf["raw"]]
+            yield pd.DataFrame({"part": pdf["part"], "batch_no": pdf["batch_no"], "patched": [h["base_offset"] for h in found], "last_record": last, "epoch": [h["leader_epoch"] for h in found], "ok": [R.valid(bytes(x)) for x in pdf["raw"]]})
+
+    b = rel(spark, sf_dir, "batches").withColumn("k", F.floor(F.col("first_offset") / 50))
+    before = F.sum("record_count").over(Window.partitionBy("part", "k").orderBy("batch_no").rowsBetween(Window.unboundedPreceding, -1))
+    refs = rel(spark, sf_dir, "refs").select("part", F.floor(F.col("base_offset") / 50).alias("k"), F.col("base_offset").alias("base"))
+    placed = b.withColumn("n", F.coalesce(before, F.lit(0).cast("long"))).join(refs, ["part", "k"]).select("part", "batch_no", (F.col("base") + F.col("n")).alias("base"))
+    unplaced = _batched(spark, sf_dir).withColumn("raw", S.patched_batch(F.col("raw"), F.lit(0), F.lit(-1)))
+    raw = S.patched_batch(F.col("raw"), F.col("base"), F.col("part") + 3)
+    return unplaced.join(placed, ["part", "batch_no"]).select("part", "batch_no", raw.alias("raw")).mapInPandas(run, "part int, batch_no long, patched long, last_record long, epoch long, ok boolean")
+
+
 @query("batch_split", w("batches") + "SELECT part, cast(count(*) AS bigint) AS n, cast(sum(record_count) AS bigint) AS records FROM batches GROUP BY part")
 def batch_split(spark, sf_dir):
     """Concatenations of up to ten batches, taken apart again."""

@@ -536,12 +536,3 @@ def log_compact_through(spark, sf_dir):
 def segment_refs_load(spark, sf_dir):
     s = rel(spark, sf_dir, "segments")
     return s.select("part", "base_offset").join(s.where("base_offset % 200 = 0").select("part", "base_offset", "record_count"), ["part", "base_offset"], "left")
-
-
-@query("batch_patch", w("batches", "refs") + "SELECT b.part, b.batch_no, r.base_offset + (b.first_offset - r.base_offset) AS patched FROM batches b JOIN refs r ON b.part = r.part AND b.first_offset >= r.base_offset AND b.first_offset < r.end_offset")
-def batch_patch(spark, sf_dir):
-    """First offsets are rewritten from the ref's base and a running count."""
-    b = rel(spark, sf_dir, "batches").withColumn("k", F.floor(F.col("first_offset") / 50))
-    before = F.sum("record_count").over(Window.partitionBy("part", "k").orderBy("batch_no").rowsBetween(Window.unboundedPreceding, -1))
-    r = rel(spark, sf_dir, "refs").select("part", F.floor(F.col("base_offset") / 50).alias("k"), "base_offset")
-    return b.withColumn("r", F.coalesce(before, F.lit(0).cast("long"))).join(r, ["part", "k"]).select("part", "batch_no", (F.col("base_offset") + F.col("r")).alias("patched"))

@@ -34,10 +34,16 @@ def filter_high_watermark(spark, sf_dir):
     return scan.committed(rel(spark, sf_dir, "ev_log"), rel(spark, sf_dir, "ends")).groupBy("part").agg(F.count("*").alias("readable"))
 
 
-@query("validate_committed_range", "SELECT * FROM (VALUES (2, 4, 5, true), (4, 2, 5, false), (2, 5, 5, false), (5, 5, 5, false)) t(s, e, hw, ok)")
+@query("validate_committed_range", "SELECT * FROM (VALUES (2, 4, 5, true), (4, 2, 5, false), (2, 5, 5, false), (5, 5, 5, false), (4, 4, 5, true)) t(s, e, hw, ok)")
 def validate_committed_range(spark, sf_dir):
-    rows = spark.sql("SELECT * FROM VALUES (2, 4, 5), (4, 2, 5), (2, 5, 5), (5, 5, 5) t(s, e, hw)")
-    return rows.withColumn("ok", F.expr("e >= s AND e < hw"))
+    rows = []
+    for s, e, hw in ((2, 4, 5), (4, 2, 5), (2, 5, 5), (5, 5, 5), (4, 4, 5)):
+        try:
+            scan.validate_committed_range(s, e, hw)
+            rows.append((s, e, hw, True))
+        except ValueError:
+            rows.append((s, e, hw, False))
+    return spark.createDataFrame(rows, "s int, e int, hw int, ok boolean")
 
 
 @query("scan_raw_batches", w("batches", "ends") + ", r AS (SELECT b.*, sum(nbytes) OVER (PARTITION BY b.part ORDER BY first_offset) AS s, row_number() OVER (PARTITION BY b.part ORDER BY first_offset) AS n FROM batches b JOIN ends USING (part) WHERE last_offset < hw AND last_offset >= 15) SELECT part, first_offset, last_offset, nbytes FROM r WHERE s <= 3000 OR n = 1")
