@@ -9,6 +9,8 @@ from .small import small
 
 MAX_HTTP_LIMIT, MAX_HTTP_PAGE, DEFAULT_HTTP_LIMIT = 20_000, 1_000, 100
 EARLIEST, LATEST, LATEST_TIERED = -2, -1, -4
+#: Offsets of a block: the most rows of a log without repeats that one task orders at a time.
+BLOCK = 1 << 16
 
 
 class OffsetOutOfRange(ValueError):
@@ -21,15 +23,26 @@ def offset_range(log: DataFrame, part: int, start: int, limit: int, order: str =
     The offset span bounds the read before any ordering: without holes no more than ``limit`` offsets can qualify.
     """
     rows = log.where((F.col("part") == part) & (F.col(order) >= start) & (F.col(order) < start + limit))
-    return contiguous_prefix(rows, F.lit(start))
+    rank = F.dense_rank().over(Window.partitionBy("part").orderBy(order)) - 1
+    return rows.withColumn("_gap", F.col(order) - start - rank).where("_gap = 0").drop("_gap")
 
 
-def contiguous_prefix(rows: DataFrame, start: Column | None = None) -> DataFrame:
-    """Rows of each partition before its first hole; with ``start``, a first row beyond it is a hole."""
-    w = Window.partitionBy("part").orderBy("record_offset")
-    first = F.min("record_offset").over(Window.partitionBy("part")) if start is None else start
-    # in a dense prefix offsets rise with the row number; distance never shrinks again after a hole
-    return rows.withColumn("_gap", F.col("record_offset") - first - (F.dense_rank().over(w) - 1)).where("_gap = 0").drop("_gap")
+def contiguous_prefix(rows: DataFrame, start: Column | None = None, block: int = BLOCK) -> DataFrame:
+    """Rows of each partition before its first hole; with ``start``, a first row beyond it is a hole.
+
+    Blocks of offsets are counted first, and only the blocks' totals are ordered by partition. Rows are ordered within
+    their block, up to the block with the first hole: no task holds a whole log partition.
+    """
+    rows = rows.withColumn("_block", F.floor(F.col("record_offset") / block))
+    totals = rows.groupBy("part", "_block").agg(F.min("record_offset").alias("_lo"), F.max("record_offset").alias("_hi"), F.count_distinct("record_offset").alias("_n"))
+    w = Window.partitionBy("part").orderBy("_block")
+    first = F.min("_lo").over(Window.partitionBy("part")) if start is None else start
+    totals = totals.withColumn("_from", F.coalesce(F.lag("_hi").over(w) + 1, first))
+    broken = (F.col("_lo") != F.col("_from")) | (F.col("_n") != F.col("_hi") - F.col("_lo") + 1)
+    totals = totals.withColumn("_broken", broken).withColumn("_before", F.max("_broken").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    kept = rows.join(totals.where("NOT coalesce(_before, false)").select("part", "_block", "_from"), ["part", "_block"])
+    rank = F.dense_rank().over(Window.partitionBy("part", "_block").orderBy("record_offset")) - 1
+    return kept.withColumn("_gap", F.col("record_offset") - F.col("_from") - rank).where("_gap = 0").drop("_gap", "_block", "_from")
 
 
 def committed(log: DataFrame, ends: DataFrame) -> DataFrame:
@@ -63,10 +76,18 @@ def http_limit(limit: int | None) -> int:
     return min(min(asked, MAX_HTTP_LIMIT), MAX_HTTP_PAGE)
 
 
-def byte_budget(rows: DataFrame, size: str, budget: int, order: str, *by: str) -> DataFrame:
-    """The prefix whose running size stays within ``budget``, and the first row in any case."""
-    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("_sum", F.sum(size).over(w)).withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy(order))).where(f"_sum <= {budget} OR _rank = 1").drop("_sum", "_rank")
+def byte_budget(rows: DataFrame, size: str, budget: int, order: str, *by: str, block: int = BLOCK) -> DataFrame:
+    """The prefix whose running size stays within ``budget``, and the first row in any case.
+
+    Blocks of ``order``, a number, are summed first; only rows of blocks that begin within the budget are ordered.
+    """
+    rows = rows.withColumn("_block", F.floor(F.col(order) / block))
+    totals = rows.groupBy(*by, "_block").agg(F.sum(size).alias("_size"))
+    before = F.sum("_size").over(Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    begun = totals.withColumn("_before", F.coalesce(before, F.lit(0))).where(f"_before <= {budget}").select(*by, "_block")
+    w = Window.partitionBy(*by).orderBy(order)
+    kept = rows.join(begun, [*by, "_block"]).withColumn("_sum", F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_rank", F.row_number().over(w))
+    return kept.where(f"_sum <= {budget} OR _rank = 1").drop("_sum", "_rank", "_block")
 
 
 def union_sources(*sources: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from itertools import chain, groupby, islice
+from operator import itemgetter
+
 import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -81,18 +84,25 @@ def decode_protobuf(spark, sf_dir):
     return rows.select("event_id", "v.id", "v.kind", "v.score", "v.even", F.expr("v.at div 1000000").alias("at_ms"))
 
 
-def _batched(spark, sf_dir):
+def batched(spark, sf_dir):
     """Batches of ten records of one partition, encoded with a codec by number."""
-    log = rel(spark, sf_dir, "ev_log").select("part", F.floor(F.col("record_offset") / 10).alias("batch_no"), "record_offset", "record_timestamp", "event_id", "event_type")
+    names = ["part", "batch_no", "record_offset", "record_timestamp", "event_id", "event_type"]
+    log = rel(spark, sf_dir, "ev_log").withColumn("batch_no", F.floor(F.col("record_offset") / 10)).select(*names)
+
+    def pack(key, rows) -> tuple:
+        rows = list(rows)
+        records = [R.Record(t, str(i).encode() if i % 5 else None, k.encode(), {"h": b"1"} if i % 2 else {}) for _, _, _, t, i, k in rows]
+        raw = R.encode(R.Batch(0, records, producer_id=key[1] % 5, sequence=key[1], codec=R.CODECS[key[1] % 5]))
+        return *key, rows[0][2], rows[-1][2], R.patch(raw, rows[0][2])
 
-    def pack(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("record_offset")
-        n = int(g["batch_no"].iloc[0])
-        records = [R.Record(int(t), str(i).encode() if i % 5 else None, k.encode(), {"h": b"1"} if i % 2 else {}) for t, i, k in zip(g["record_timestamp"], g["event_id"], g["event_type"], strict=True)]
-        raw = R.encode(R.Batch(0, records, producer_id=n % 5, sequence=n, codec=R.CODECS[n % 5]))
-        return pd.DataFrame({"part": [int(g["part"].iloc[0])], "batch_no": [n], "raw": [R.patch(raw, int(g["record_offset"].iloc[0]))]})
+    def run(pdfs):
+        rows = chain.from_iterable(zip(*(pdf[c].tolist() for c in names), strict=True) for pdf in pdfs)
+        packed = (pack(key, group) for key, group in groupby(rows, key=itemgetter(0, 1)))
+        while some := list(islice(packed, 2000)):
+            yield pd.DataFrame(some, columns=["part", "batch_no", "first_offset", "last_offset", "raw"])
 
-    return log.groupBy("part", "batch_no").applyInPandas(pack, "part int, batch_no long, raw binary")
+    near = log.repartition("part", F.floor(F.col("batch_no") / 64)).sortWithinPartitions("part", "record_offset")
+    return near.mapInPandas(run, "part int, batch_no long, first_offset long, last_offset long, raw binary")
 
 
 @query("batch_decode", w("ev_log") + "SELECT part, record_offset, record_timestamp, CASE WHEN event_id % 5 <> 0 THEN cast(event_id AS varchar) END AS record_key, event_type AS record_value, cast(event_id % 2 AS int) AS headers FROM ev_log")
@@ -105,7 +115,7 @@ def batch_decode(spark, sf_dir):
                     rows.append((part, r.offset, r.timestamp, None if r.key is None else r.key.decode(), r.value.decode(), len(r.headers)))
             yield pd.DataFrame(rows, columns=["part", "record_offset", "record_timestamp", "record_key", "record_value", "headers"])
 
-    return _batched(spark, sf_dir).mapInPandas(run, "part int, record_offset long, record_timestamp long, record_key string, record_value string, headers int")
+    return batched(spark, sf_dir).mapInPandas(run, "part int, record_offset long, record_timestamp long, record_key string, record_value string, headers int")
 
 
 @query("kafka_produce_decode", w("batches") + "SELECT part, batch_no, producer_id, batch_no AS sequence, record_count FROM batches")
@@ -115,14 +125,14 @@ def kafka_produce_decode(spark, sf_dir):
             found = [R.header(bytes(x)) for x in pdf["raw"]]
             yield pd.DataFrame({"part": pdf["part"], "batch_no": pdf["batch_no"], "producer_id": [h["producer_id"] for h in found], "sequence": [h["sequence"] for h in found], "record_count": [h["count"] for h in found]})
 
-    return _batched(spark, sf_dir).mapInPandas(run, "part int, batch_no long, producer_id long, sequence long, record_count long")
+    return batched(spark, sf_dir).mapInPandas(run, "part int, batch_no long, producer_id long, sequence long, record_count long")
 
 
 @query("batch_header", w("batches") + "SELECT part, batch_no, first_offset AS base_offset, record_count, producer_id FROM batches")
 def batch_header(spark, sf_dir):
     """The header's fields by native expressions: big-endian numbers at fixed places."""
     number = lambda at, n: F.conv(F.hex(F.substring("raw", at, n)), 16, 10).cast("long")
-    return _batched(spark, sf_dir).select("part", "batch_no", number(1, 8).alias("base_offset"), number(58, 4).alias("record_count"), number(44, 8).alias("producer_id"))
+    return batched(spark, sf_dir).select("part", "batch_no", number(1, 8).alias("base_offset"), number(58, 4).alias("record_count"), number(44, 8).alias("producer_id"))
 
 
 @query("batch_crc", w("batches") + "SELECT part, batch_no, batch_no % 9 <> 4 AS ok FROM batches")
@@ -132,7 +142,7 @@ def batch_crc(spark, sf_dir):
         return pd.Series([R.valid(bytes(x)) for x in raw], dtype="boolean")
 
     damaged = F.when(F.col("batch_no") % 9 == 4, F.concat("raw", F.unhex(F.lit("00")))).otherwise(F.col("raw"))
-    return _batched(spark, sf_dir).select("part", "batch_no", ok(damaged).alias("ok"))
+    return batched(spark, sf_dir).select("part", "batch_no", ok(damaged).alias("ok"))
 
 
 @query("batch_patch", w("batches", "refs") + "SELECT b.part, b.batch_no, b.first_offset AS patched, b.first_offset + b.record_count - 1 AS last_record, cast(b.part + 3 AS bigint) AS epoch, true AS ok FROM batches b JOIN refs r ON b.part = r.part AND b.first_offset >= r.base_offset AND b.first_offset < r.end_offset")
@@ -149,7 +159,7 @@ def batch_patch(spark, sf_dir):
     before = F.sum("record_count").over(Window.partitionBy("part", "k").orderBy("batch_no").rowsBetween(Window.unboundedPreceding, -1))
     refs = rel(spark, sf_dir, "refs").select("part", F.floor(F.col("base_offset") / 50).alias("k"), F.col("base_offset").alias("base"))
     placed = b.withColumn("n", F.coalesce(before, F.lit(0).cast("long"))).join(refs, ["part", "k"]).select("part", "batch_no", (F.col("base") + F.col("n")).alias("base"))
-    unplaced = _batched(spark, sf_dir).withColumn("raw", S.patched_batch(F.col("raw"), F.lit(0), F.lit(-1)))
+    unplaced = batched(spark, sf_dir).withColumn("raw", S.patched_batch(F.col("raw"), F.lit(0), F.lit(-1)))
     raw = S.patched_batch(F.col("raw"), F.col("base"), F.col("part") + 3)
     return unplaced.join(placed, ["part", "batch_no"]).select("part", "batch_no", raw.alias("raw")).mapInPandas(run, "part int, batch_no long, patched long, last_record long, epoch long, ok boolean")
 
@@ -163,7 +173,7 @@ def batch_split(spark, sf_dir):
             parts = [[R.header(x)["count"] for x in R.split(bytes(raw))] for raw in pdf["raw"]]
             yield pd.DataFrame({"part": pdf["part"], "n": [len(p) for p in parts], "records": [sum(p) for p in parts]})
 
-    joined = _batched(spark, sf_dir).groupBy("part", F.floor(F.col("batch_no") / 10).alias("g")).agg(F.array_sort(F.collect_list(F.struct("batch_no", "raw"))).alias("b"))
+    joined = batched(spark, sf_dir).groupBy("part", F.floor(F.col("batch_no") / 10).alias("g")).agg(F.array_sort(F.collect_list(F.struct("batch_no", "raw"))).alias("b"))
     joined = joined.select("part", F.aggregate(F.transform("b", lambda x: x["raw"]), F.unhex(F.lit("")), lambda a, x: F.concat(a, x)).alias("raw"))
     return joined.mapInPandas(run, "part int, n long, records long").groupBy("part").agg(F.sum("n").alias("n"), F.sum("records").alias("records"))
 

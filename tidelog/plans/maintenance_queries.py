@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import aggregate, fold
+from ..operators import aggregate, batches, fold
 from ..operators import maintenance as M
 from ..operators.small import small
+from ..sources import recordbatch as R
 from .catalog import query
+from .decode_queries import batched
 from .fixtures import relation as rel
 from .fixtures import with_clause as w
 
@@ -103,10 +105,21 @@ def w_compaction_runs(spark, sf_dir):
     return fold.compaction_runs(rel(spark, sf_dir, "segments"), 3, 12_000, 1 << 40).select("part", "base_offset", "run")
 
 
-@query("merge_segments", _RUNS + "SELECT part, cast(run AS int) AS run, min(base_offset) AS base_offset, max(end_offset) AS end_offset, cast(count(*) AS bigint) AS n FROM f GROUP BY 1, 2")
+@query("merge_segments", _RUNS + "SELECT part, cast(run AS int) AS run, min(base_offset) AS base_offset, max(end_offset) AS end_offset, cast(count(*) AS bigint) AS n, cast(sum(end_offset - base_offset + 1) AS bigint) AS records, cast(sum((end_offset - base_offset + 10) // 10) AS bigint) AS batches, true AS ok FROM f GROUP BY 1, 2")
 def merge_segments(spark, sf_dir):
-    runs = fold.compaction_runs(rel(spark, sf_dir, "segments"), 3, 12_000, 1 << 40)
-    return runs.groupBy("part", "run").agg(F.min("base_offset").alias("base_offset"), F.max("end_offset").alias("end_offset"), F.count("*").alias("n"))
+    """Each run's segments as one object, byte by byte; its batches are taken apart again and checked."""
+
+    def check(pdfs):
+        for pdf in pdfs:
+            parts = [R.split(bytes(raw)) for raw in pdf.pop("raw")]
+            whole = [sum(map(len, p)) == n for p, n in zip(parts, pdf.pop("size").tolist(), strict=True)]
+            yield pdf.assign(records=[sum(R.header(x)["count"] for x in p) for p in parts], batches=[len(p) for p in parts], ok=[w and all(map(R.valid, p)) for w, p in zip(whole, parts, strict=True)])
+
+    raws = batched(spark, sf_dir).groupBy("part", (F.floor(F.col("first_offset") / 100) * 100).alias("base_offset")).agg(F.array_sort(F.collect_list(F.struct("first_offset", "raw"))).alias("b"))
+    raws = raws.select("part", "base_offset", batches.concatenated(F.transform("b", lambda x: x["raw"])).alias("raw"))
+    runs = fold.compaction_runs(rel(spark, sf_dir, "segments"), 3, 12_000, 1 << 40).join(raws, ["part", "base_offset"])
+    out = batches.merged(runs, "part", "run").select("part", "run", "base_offset", "end_offset", F.col("n").cast("long"), F.length("raw").alias("size"), "raw")
+    return out.mapInPandas(check, "part int, run int, base_offset long, end_offset long, n long, records long, batches long, ok boolean")
 
 
 @query("w_range_coalesce")
@@ -515,11 +528,11 @@ def isr_stale_gc(spark, sf_dir):
     return objects.join(F.broadcast(spark.sql("SELECT * FROM VALUES ('view'), ('click') t(topic)")), "topic", "left_anti").select("topic", "part")
 
 
-@query("log_recover", w("batches") + ", r AS (SELECT *, min(CASE WHEN batch_no % 17 = 13 THEN 0 ELSE 1 END) OVER (PARTITION BY part ORDER BY batch_no) AS ok FROM batches) SELECT part, max(last_offset) + 1 AS next_offset FROM r WHERE ok = 1 GROUP BY part")
+@query("log_recover", w("batches") + "SELECT part, coalesce(min(first_offset) FILTER (batch_no % 17 = 13 OR batch_no % 29 = 24), max(last_offset) + 1) AS next_offset FROM batches GROUP BY part")
 def log_recover(spark, sf_dir):
-    """The prefix before the first batch with a bad checksum."""
-    good = F.bool_and(F.col("batch_no") % 17 != 13).over(Window.partitionBy("part").orderBy("batch_no"))
-    return rel(spark, sf_dir, "batches").withColumn("ok", good).where("ok").groupBy("part").agg((F.max("last_offset") + 1).alias("next_offset"))
+    """Logs with flipped and cut-off batches go on at the first of them, found by its checksum."""
+    raw = F.expr("CASE WHEN batch_no % 17 = 13 THEN concat(substring(raw, 1, 60), unhex('FFFE'), substring(raw, 63)) WHEN batch_no % 29 = 24 THEN substring(raw, 1, 40) ELSE raw END")
+    return batches.recovered(batched(spark, sf_dir).withColumn("raw", raw))
 
 
 @query("log_truncate_from", w("ev_log") + "SELECT part, cast(count(*) AS bigint) AS n FROM ev_log WHERE record_offset < 64 GROUP BY part")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import scan
+from ..functions import scalars as S
+from ..operators import batches, scan
 from ..operators.small import small
 from .catalog import query
+from .decode_queries import batched
 from .fixtures import relation as rel
 from .fixtures import with_clause as w
 
@@ -46,10 +49,22 @@ def validate_committed_range(spark, sf_dir):
     return spark.createDataFrame(rows, "s int, e int, hw int, ok boolean")
 
 
-@query("scan_raw_batches", w("batches", "ends") + ", r AS (SELECT b.*, sum(nbytes) OVER (PARTITION BY b.part ORDER BY first_offset) AS s, row_number() OVER (PARTITION BY b.part ORDER BY first_offset) AS n FROM batches b JOIN ends USING (part) WHERE last_offset < hw AND last_offset >= 15) SELECT part, first_offset, last_offset, nbytes FROM r WHERE s <= 3000 OR n = 1")
+_RAW = """, q AS (SELECT part, (part + 1) * 22 AS start_offset, hw FROM ends),
+a AS (SELECT DISTINCT b.part, b.batch_no, first_offset, last_offset, nbytes, CASE WHEN first_offset < log_end * 2 // 5 THEN 0 WHEN first_offset < log_end // 2 THEN 1 ELSE 2 END AS source
+  FROM batches b JOIN ends USING (part) WHERE NOT (batch_no % 23 = 8 AND first_offset < log_end * 2 // 5 AND b.part <> 1)),
+c AS (SELECT a.*, start_offset, sum(nbytes) OVER (PARTITION BY part ORDER BY batch_no) AS s, row_number() OVER (PARTITION BY part ORDER BY batch_no) AS n FROM a JOIN q USING (part) WHERE last_offset >= start_offset AND first_offset < hw)
+SELECT part, first_offset, last_offset, nbytes, source FROM c WHERE batch_no = start_offset // 10 + n - 1 AND (s <= 9000 OR n = 1)"""
+
+
+@query("scan_raw_batches", w("batches", "ends") + _RAW)
 def scan_raw_batches(spark, sf_dir):
-    batches = rel(spark, sf_dir, "batches").join(small(rel(spark, sf_dir, "ends").select("part", "hw")), "part").where("last_offset < hw AND last_offset >= 15")
-    return scan.byte_budget(batches, "nbytes", 3000, "first_offset", "part").select("part", "first_offset", "last_offset", "nbytes")
+    """Sealed segments with a hole, those on their way to the store, and the active one; the sources overlap."""
+    ends = rel(spark, sf_dir, "ends")
+    b = rel(spark, sf_dir, "batches").join(small(ends.select("part", "log_end")), "part")
+    sealed = b.where("first_offset < log_end * 2 div 5 AND NOT (batch_no % 23 = 8 AND part <> 1)")
+    pending = b.where("first_offset >= log_end * 2 div 5 - 20 AND first_offset < log_end div 2 AND NOT (batch_no % 23 = 8 AND first_offset < log_end * 2 div 5 AND part <> 1)")
+    requests = ends.select("part", ((F.col("part") + 1) * 22).alias("start_offset"), F.col("hw").alias("bound"))
+    return batches.raw_read([sealed, pending, b.where("first_offset >= log_end div 2")], requests, 9000).select("part", "first_offset", "last_offset", "nbytes", F.col("source").cast("int"))
 
 
 @query("scan_sealed_range", w("batches") + "SELECT part, min(first_offset) AS base_offset, max(last_offset) AS end_offset, cast(sum(nbytes) AS bigint) AS nbytes FROM (SELECT *, sum(nbytes) OVER (PARTITION BY part ORDER BY first_offset) AS s FROM batches WHERE last_offset >= 33) WHERE s <= 5000 GROUP BY part")
@@ -74,10 +89,19 @@ def scan_consume_diskless(spark, sf_dir):
     return scan.offset_range(log, 0, 5, 40).select("part", "record_offset", "event_id")
 
 
-@query("scan_diskless_fetch", w("refs", "ends") + ", r AS (SELECT refs.*, sum(byte_length) OVER (PARTITION BY part ORDER BY base_offset) AS s, row_number() OVER (PARTITION BY part ORDER BY base_offset) AS n FROM refs JOIN ends USING (part) WHERE end_offset > 60 AND end_offset <= hw) SELECT part, file_key, base_offset, end_offset FROM r WHERE s <= 6000 OR n = 1")
+@query("scan_diskless_fetch", w("batches", "ends") + """, q AS (SELECT part, part * 13 + 5 AS start_offset, hw // 50 * 50 AS head FROM ends)
+SELECT b.part, first_offset, last_offset, record_count, true AS ok FROM batches b JOIN q USING (part) WHERE last_offset >= start_offset AND first_offset < head""")
 def scan_diskless_fetch(spark, sf_dir):
-    refs = rel(spark, sf_dir, "refs").join(small(rel(spark, sf_dir, "ends").select("part", "hw")), "part").where("end_offset > 60 AND end_offset <= hw")
-    return scan.byte_budget(refs, "byte_length", 6000, "base_offset", "part").select("part", "file_key", "base_offset", "end_offset")
+    """Files of stored batches of several partitions; each ref's range is read, and its batches get their offsets."""
+    stored = batched(spark, sf_dir).withColumn("raw", S.patched_batch(F.col("raw"), F.lit(0), F.lit(-1))).withColumn("k", F.floor(F.col("first_offset") / 50))
+    ranges = stored.groupBy("part", "k").agg(F.min("first_offset").alias("base_offset"), F.max("last_offset").alias("last"), F.array_sort(F.collect_list(F.struct("first_offset", "raw"))).alias("b"))
+    ranges = ranges.select("part", "base_offset", (F.col("last") + 1).alias("end_offset"), F.concat_ws("-", F.lit("f"), F.floor(F.col("k") / 2), F.floor(F.col("part") / 2)).alias("file_key"), batches.concatenated(F.transform("b", lambda x: x["raw"])).alias("raw"))
+    before = F.sum(F.length("raw")).over(Window.partitionBy("file_key").orderBy("part", "base_offset").rowsBetween(Window.unboundedPreceding, -1))
+    refs = ranges.select("part", "base_offset", "end_offset", "file_key", F.length("raw").alias("byte_length"), F.coalesce(before, F.lit(0).cast("long")).alias("byte_offset"))
+    files = ranges.groupBy("file_key").agg(F.array_sort(F.collect_list(F.struct("part", "base_offset", "raw"))).alias("r")).select("file_key", batches.concatenated(F.transform("r", lambda x: x["raw"])).alias("content"))
+    requests = rel(spark, sf_dir, "ends").select("part", (F.col("part") * 13 + 5).alias("start_offset"), F.expr("hw div 50 * 50").alias("head"))
+    found = batches.fetch(refs, files, requests, 64 << 20)
+    return found.select("part", "first_offset", "last_offset", "record_count", batches.intact("raw").alias("ok"))
 
 
 @query("scan_ref_seek", w("batches", "refs") + "SELECT r.part, r.base_offset, min(b.first_offset) AS batch_offset FROM refs r JOIN batches b ON b.part = r.part AND b.first_offset >= r.base_offset AND b.last_offset < r.end_offset WHERE b.last_offset >= r.base_offset + 25 GROUP BY 1, 2")
