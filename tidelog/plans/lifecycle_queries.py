@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import threading
 import uuid
 
 from pyspark.sql import Window
@@ -266,33 +267,179 @@ def sidecar_write_read(spark, sf_dir):
     return spark.read.schema(b.schema).parquet(path)
 
 
-@query("job_store", w("segments") + "SELECT part, base_offset, substr(sha256(concat('merge|events|', cast(part AS varchar), '|', cast(base_offset AS varchar), '|', cast(end_offset AS varchar))), 1, 24) AS job_id FROM segments")
+_JOBS = w("segments") + ", j AS (SELECT part, epoch, min(base_offset) AS lo, max(end_offset) AS hi, cast(sum(record_count) AS bigint) AS n FROM segments GROUP BY part, epoch)"
+
+
+def _planned(spark, sf_dir, kind: str) -> list[dict]:
+    """A job for each epoch of each partition, with the folder that holds its records."""
+    s = rel(spark, sf_dir, "segments").groupBy("part", "epoch").agg(F.min("base_offset").alias("lo"), F.max("end_offset").alias("hi"))
+    return [{"id": jobs.job_id(kind, "events", r.part, r.lo, r.hi), "kind": kind, "topic": "events", "part": r.part, "first": r.lo, "last": r.hi, "data": f"data/part={r.part}/epoch={r.epoch}"} for r in s.collect()]
+
+
+class _Crash(RuntimeError):
+    pass
+
+
+class _Log:
+    """A log's records by partition and epoch, the folders that readers see, and a job store."""
+
+    def __init__(self, spark, sf_dir: str, kind: str):
+        self.spark, self.kind = spark, kind
+        self.store = Store(spark, _root(spark, kind))
+        self.jobs, self.now = jobs.JobStore(self.store), 0
+        rows = rel(spark, sf_dir, "ev_log").withColumn("epoch", F.expr("cast(record_offset div 300 AS int)"))
+        rows.select("part", "epoch", "record_offset", "event_id").repartition("part", "epoch").write.partitionBy("part", "epoch").parquet(f"{self.store.root}/data")
+        self.planned = _planned(spark, sf_dir, kind)
+        for part in sorted({job["part"] for job in self.planned}):
+            self.swap(part, [], [job["data"] for job in self.planned if job["part"] == part])
+
+    def folders(self, part: int) -> list[str]:
+        names = self.store.names(f"refs/{part}")
+        return self.store.read(f"refs/{part}/{names[-1]}")["folders"] if names else []
+
+    def swap(self, part: int, gone: list[str], new: list[str]) -> None:
+        """The folders that readers see change in one step: a new version, created once; the loser reads again."""
+        while True:
+            version, old = len(self.store.names(f"refs/{part}")), self.folders(part)
+            now = [f for f in old if f not in gone and f not in new] + new
+            if now == old:
+                return
+            try:
+                return self.store.create(f"refs/{part}/{version + 1:08d}.json", {"folders": now})
+            except Conflict:
+                continue
+
+    def tick(self) -> int:
+        self.now += 1
+        return self.now
+
+    def run(self, phases: dict, crashes: tuple[str, ...]) -> None:
+        """Plan each job twice; each runs until done, but is lost once after each of ``crashes`` had its effect."""
+        for job in self.planned:
+            self.jobs.put(job, self.tick())
+            self.jobs.put(job, self.tick())
+        lost = set()
+
+        def once(name, phase):
+            def go(job):
+                out = phase(job)
+                if name in crashes and (job["id"], name) not in lost:
+                    lost.add((job["id"], name))
+                    raise _Crash(name)
+                return out
+
+            return go
+
+        handlers = {name: once(name, phase) for name, phase in phases.items()}
+        for part in sorted({job["part"] for job in self.planned}):
+            while found := self.jobs.list("events", part):
+                for error in jobs.in_parallel([lambda job=job: jobs.run_job(self.jobs, job, handlers, self.tick) for job in found], 4):
+                    if error is not None and not isinstance(error, _Crash):
+                        raise error
+
+    def left(self) -> list[tuple]:
+        """Of each partition: jobs, refs and folders that are left, and records that can be read by the refs."""
+        out = []
+        for part in sorted({job["part"] for job in self.planned}):
+            folders = self.folders(part)
+            n = self.spark.read.parquet(*(f"{self.store.root}/{f}" for f in folders)).count() if folders else 0
+            held = [name for name in self.store.names(f"data/part={part}") if "=" in name or name == "merged"]
+            out.append((part, len(self.jobs.list("events", part)), len(folders), len(held), n))
+        return out
+
+
+_LEFT = "part int, jobs long, refs long, folders long, records long"
+
+
+@query("job_store", _JOBS + "SELECT part, lo, hi, row_number() OVER (PARTITION BY part ORDER BY epoch % 3, job_id) AS nth, job_id FROM (SELECT *, substr(sha256(concat('merge|events|', part, '|', lo, '|', hi)), 1, 24) AS job_id FROM j) WHERE epoch % 4 <> 3")
 def job_store(spark, sf_dir):
-    s = rel(spark, sf_dir, "segments")
-    return s.select("part", "base_offset", F.substring(F.sha2(F.concat_ws("|", F.lit("merge"), F.lit("events"), F.col("part").cast("string"), F.col("base_offset").cast("string"), F.col("end_offset").cast("string")), 256), 1, 24).alias("job_id"))
+    """Jobs put twice, some of them deleted, listed in the order of their last change."""
+    store = jobs.JobStore(Store(spark, _root(spark, "jobs")))
+    planned = _planned(spark, sf_dir, "merge")
+    for job in planned:
+        epoch = int(job["data"].rsplit("=")[-1])
+        kept = store.put(job, 99)
+        if store.put(job, 100) != kept:
+            raise AssertionError("a job was planned twice")
+        store.put(kept, epoch % 3)
+        if epoch % 4 == 3:
+            store.delete(job)
+    rows = [(p, job["first"], job["last"], n, job["id"]) for p in sorted({j["part"] for j in planned}) for n, job in enumerate(store.list("events", p), 1)]
+    return spark.createDataFrame(rows, "part int, lo long, hi long, nth long, job_id string")
 
 
-def _phases(name: str, kind: str, expected: str):
-    @query(name, f"SELECT * FROM (VALUES {expected}) t(step, phase)")
-    def run(spark, sf_dir):
-        rows, phase = [], None
-        for k in range(len(jobs.PHASES[kind])):
-            phase = jobs.next_phase(kind, phase)
-            rows.append((k, phase))
-        return spark.createDataFrame(rows, "step int, phase string")
+@query("job_retention", _JOBS + "SELECT part, 0::BIGINT AS jobs, cast(count(*) FILTER (epoch % 2 = 0) AS bigint) AS refs, cast(count(*) FILTER (epoch % 2 = 0) AS bigint) AS folders, cast(coalesce(sum(n) FILTER (epoch % 2 = 0), 0) AS bigint) AS records FROM j GROUP BY part")
+def job_retention(spark, sf_dir):
+    """Every second epoch expires: data go, then what points at them; each job is lost once after each phase."""
+    log = _Log(spark, sf_dir, "retention")
+    log.planned = [job for job in log.planned if int(job["data"].rsplit("=")[-1]) % 2]
+    kept = {"delete_data": lambda job: log.store.delete(job["data"]), "delete_metadata": lambda job: log.swap(job["part"], [job["data"]], [])}
+    log.run(kept, ("delete_data", "delete_metadata"))
+    log.planned = _planned(spark, sf_dir, "retention")
+    return spark.createDataFrame(log.left(), _LEFT)
 
-    return run
 
+def _merged(spark, sf_dir, kind: str, grace: int):
+    """Each partition's epochs become one folder; sources go after a grace, when no ref names them."""
+    log = _Log(spark, sf_dir, kind)
+    sources = {p: [j for j in log.planned if j["part"] == p] for p in {j["part"] for j in log.planned}}
+    log.planned = [{"id": jobs.job_id(kind, "events", p, min(j["first"] for j in js), max(j["last"] for j in js)), "kind": kind, "topic": "events", "part": p, "first": min(j["first"] for j in js), "sources": [j["data"] for j in js], "data": f"data/part={p}/merged"} for p, js in sources.items()]
+
+    def publish_data(job):
+        # no ref names the folder yet, so a second run may write it again
+        read = spark.read.parquet(*(f"{log.store.root}/{f}" for f in job["sources"]))
+        read.sort("record_offset").write.mode("overwrite").parquet(f"{log.store.root}/{job['data']}")
+
+    def publish_metadata(job):
+        log.swap(job["part"], job["sources"], [job["data"]])
+        return {"published": log.now}
+
+    def delete_data(job):
+        if log.tick() < job["published"] + grace:
+            raise jobs.Later(job["id"])
+        named = log.folders(job["part"])
+        for folder in job["sources"]:
+            if folder not in named:
+                log.store.delete(folder)
 
-_phases("job_retention", "retention", "(0, 'delete_data'), (1, 'delete_metadata'), (2, 'done')")
-_phases("job_compaction", "compaction", "(0, 'publish_data'), (1, 'publish_metadata'), (2, 'delete_data'), (3, 'done')")
-_phases("job_merge_classic", "merge", "(0, 'publish_data'), (1, 'publish_metadata'), (2, 'delete_data'), (3, 'done')")
+    log.run({"publish_data": publish_data, "publish_metadata": publish_metadata, "delete_data": delete_data}, ("publish_data", "publish_metadata", "delete_data"))
+    return spark.createDataFrame(log.left(), _LEFT)
 
 
-@query("job_bounded_parallel", w("segments") + "SELECT part, cast(count(*) AS bigint) AS jobs, (count(*) + 3) // 4 AS waves FROM segments GROUP BY part")
+_ONE = _JOBS + "SELECT part, 0::BIGINT AS jobs, 1::BIGINT AS refs, 1::BIGINT AS folders, cast(sum(n) AS bigint) AS records FROM j GROUP BY part"
+
+
+@query("job_compaction", _ONE)
+def job_compaction(spark, sf_dir):
+    return _merged(spark, sf_dir, "compaction", 20)
+
+
+@query("job_merge_classic", _ONE)
+def job_merge_classic(spark, sf_dir):
+    return _merged(spark, sf_dir, "merge", 0)
+
+
+@query("job_bounded_parallel", _JOBS + "SELECT cast(count(*) AS bigint) AS tasks, cast(count(*) FILTER (epoch % 3 <> 1) AS bigint) AS done, cast(count(*) FILTER (epoch % 3 = 1) AS bigint) AS failed, true AS bounded FROM j")
 def job_bounded_parallel(spark, sf_dir):
-    """Four jobs of a partition at a time."""
-    return rel(spark, sf_dir, "segments").groupBy("part").agg(F.count("*").alias("jobs"), F.expr("(count(*) + 3) div 4").alias("waves"))
+    """A task for each epoch, four at a time; some fail, and the others run all the same."""
+    lock, running, most, done = threading.Lock(), 0, 0, []
+
+    def task(job):
+        nonlocal running, most
+        with lock:
+            running += 1
+            most = max(most, running)
+        try:
+            if int(job["data"].rsplit("=")[-1]) % 3 == 1:
+                raise RuntimeError(job["id"])
+            done.append(job["id"])
+        finally:
+            with lock:
+                running -= 1
+
+    planned = _planned(spark, sf_dir, "retention")
+    errors = jobs.in_parallel([lambda job=job: task(job) for job in planned], 4)
+    return spark.createDataFrame([(len(planned), len(done), sum(e is not None for e in errors), most <= 4)], "tasks long, done long, failed long, bounded boolean")
 
 
 @query("stream_microbatch_trigger")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -33,23 +34,47 @@ class Store:
         self.spark, self.root = spark, root.rstrip("/")
         self._jvm = spark.sparkContext._jvm
         self._fs = self._path("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        gateway = spark.sparkContext._gateway
+        self._none = gateway.new_array(self._jvm.java.lang.String, 0)
+        self._no_options = gateway.new_array(getattr(self._jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
 
     def _path(self, name: str):
         return self._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
 
     def create(self, name: str, document: dict) -> None:
-        """Fails with Conflict if the document exists with another content; equal bytes are fine."""
+        """Fails with Conflict if the document exists with another content; equal bytes are fine.
+
+        A document appears whole or not at all. Where a file is seen while it is written, it is written under another
+        name and then linked (local files) or renamed without overwriting; object stores show a file when it is closed.
+        """
         raw = json.dumps(document, sort_keys=True, separators=(",", ":"))
+        folder, _, base = name.rpartition("/")
+        scheme = self._fs.getUri().getScheme()
+        at_once = scheme in ("file", "hdfs", "viewfs")
+        written = f"{folder}/.{base}.{uuid.uuid4().hex}".lstrip("/") if at_once else name
         try:
-            out = self._fs.create(self._path(name), False)
+            out = self._fs.create(self._path(written), False)
+            try:
+                out.write(bytearray(raw.encode()))
+            finally:
+                out.close()
+            if at_once:
+                self._publish(scheme, written, name)
         except Exception as e:
             if self.exists(name) and self.read_text(name) == raw:
                 return
             raise Conflict(name) from e
-        try:
-            out.write(bytearray(raw.encode()))
         finally:
-            out.close()
+            if at_once:
+                self.delete(written)
+
+    def _publish(self, scheme: str, written: str, name: str) -> None:
+        if scheme == "file":
+            local = [self._jvm.java.nio.file.Path.of(self._path(n).toUri().getPath(), self._none) for n in (name, written)]
+            self._jvm.java.nio.file.Files.createLink(*local)
+        else:
+            renames = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path("").toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+            renames.rename(self._path(written), self._path(name), self._no_options)
 
     def exists(self, name: str) -> bool:
         return bool(self._fs.exists(self._path(name)))
@@ -67,7 +92,8 @@ class Store:
     def names(self, folder: str) -> list[str]:
         if not self.exists(folder):
             return []
-        return sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(folder)))
+        found = (s.getPath().getName() for s in self._fs.listStatus(self._path(folder)))
+        return sorted(n for n in found if not n.startswith("."))
 
     def delete(self, name: str = "") -> None:
         self._fs.delete(self._path(name), True)
