@@ -230,3 +230,36 @@ def acl_matches(acls: DataFrame, filters: DataFrame) -> DataFrame:
     literal = F.col("name") == F.col("fn")
     named = F.when(F.col("fp").isin("LITERAL", "PREFIXED"), (F.col("pattern") == F.col("fp")) & literal).when(F.col("fp") == "ANY", literal).otherwise(literal | (F.col("name") == "*") | ((F.col("pattern") == "PREFIXED") & F.startswith("fn", "name")))
     return acls.join(F.broadcast(f), ((F.col("fr") == "ANY") | (F.col("fr") == F.col("resource"))) & (F.col("fn").isNull() | named))
+
+
+class BrokenChain(ValueError):
+    """A checkpoint names one before it that isn't there, or the chain comes back to itself."""
+
+
+def walk_chain(links: DataFrame, heads: DataFrame, folder: str) -> DataFrame:
+    """Checkpoints that each partition's head reaches, with their distance from it.
+
+    links: part, key, previous (null at the oldest); heads: part, key. Steps double each round, so that a chain of n
+    takes log2(n) rounds; each round's tables are written below ``folder``, a shared one. Fails on a broken chain.
+    """
+    spark = links.sparkSession
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    jump = links.where("previous IS NOT NULL").select("part", "key", F.col("previous").alias("far"))
+    reached, steps, most = keep(heads.select("part", "key", F.lit(0).cast("long").alias("depth")), "reached-0"), 1, links.count()
+    while True:
+        further = reached.join(jump, ["part", "key"]).select("part", F.col("far").alias("key"), (F.col("depth") + steps).alias("depth"))
+        reached_now = keep(reached.unionByName(further), f"reached-{steps}")
+        if further.isEmpty():
+            break
+        if steps > most:
+            raise BrokenChain("a chain of checkpoints comes back to itself")
+        jump = keep(jump.alias("a").join(jump.alias("b"), F.expr("a.part = b.part AND a.far = b.key")).select("a.part", "a.key", "b.far"), f"jump-{steps}")
+        reached, steps = reached_now, steps * 2
+    lost = reached_now.join(links.select("part", "key"), ["part", "key"], "left_anti").limit(1).collect()
+    if lost:
+        raise BrokenChain(f"partition {lost[0].part}: checkpoint {lost[0].key} is missing")
+    return reached_now

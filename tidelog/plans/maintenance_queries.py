@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import aggregate, batches, fold
+from ..operators import aggregate, batches, configs, fold
 from ..operators import maintenance as M
 from ..operators.small import small
 from ..sources import recordbatch as R
+from ..sources.store import shared_dir
 from .catalog import query
 from .decode_queries import batched
 from .fixtures import relation as rel
@@ -229,13 +232,20 @@ def anti_orphan_sidecars(spark, sf_dir):
     return both.where("seg IS NULL OR side IS NULL").select("part", "base_offset", F.when(F.col("seg").isNull(), "sidecar").otherwise("segment").alias("kind"))
 
 
+def _links(spark, sf_dir, newest):
+    """Checkpoints named by a digest, each with the one before it, and heads that are ``newest`` behind the last."""
+    b = rel(spark, sf_dir, "batches").select("part", "batch_no")
+    name = lambda n: F.sha2(F.concat_ws("/", "part", n), 256)
+    links = b.select("part", "batch_no", name(F.col("batch_no")).alias("key"), F.when(F.col("batch_no") > 0, name(F.col("batch_no") - 1)).alias("previous"))
+    heads = b.groupBy("part").agg((F.max("batch_no") - newest).alias("n")).select("part", name(F.col("n")).alias("key"))
+    return links, heads, f"{shared_dir(spark)}/chain-{uuid.uuid4().hex}"
+
+
 @query("anti_orphan_checkpoints", w("batches") + "SELECT part, batch_no FROM batches WHERE batch_no > (SELECT max(batch_no) FROM batches b WHERE b.part = batches.part) - 2")
 def anti_orphan_checkpoints(spark, sf_dir):
-    """Objects of a chain that no head reaches: here the two written last in each partition."""
-    b = rel(spark, sf_dir, "batches").select("part", "batch_no")
-    heads = b.groupBy("part").agg((F.max("batch_no") - 2).alias("head"))
-    reached = b.join(small(heads), "part").where("batch_no <= head").select("part", "batch_no")
-    return b.join(reached, ["part", "batch_no"], "left_anti")
+    """Checkpoints that no head's chain reaches: those written after it, whose publishing was lost."""
+    links, heads, folder = _links(spark, sf_dir, 2)
+    return links.join(M.walk_chain(links, heads, folder), ["part", "key"], "left_anti").select("part", "batch_no")
 
 
 @query("metadata_orphans", w("files") + "SELECT file_path FROM files WHERE hour % 5 = 2")
@@ -351,12 +361,11 @@ def partition_refs_union(spark, sf_dir):
     return refs.where("base_offset < 100").unionByName(refs.where("base_offset >= 100"))
 
 
-@query("refs_load_checkpoints", w("batches", recursive=True) + ", c AS (SELECT part, max(batch_no) AS k, 0 AS depth FROM batches GROUP BY part UNION ALL SELECT part, k - 1, depth + 1 FROM c WHERE k > 0) SELECT part, k AS batch_no, cast(depth AS int) AS depth FROM c")
+@query("refs_load_checkpoints", w("batches", recursive=True) + ", c AS (SELECT part, max(batch_no) AS k, 0 AS depth FROM batches GROUP BY part UNION ALL SELECT part, k - 1, depth + 1 FROM c WHERE k > 0) SELECT part, k AS batch_no, cast(depth AS bigint) AS depth FROM c")
 def refs_load_checkpoints(spark, sf_dir):
-    """A chain of checkpoints, each naming the one before, from the head: numbers are dense, so depth is a difference."""
-    b = rel(spark, sf_dir, "batches").select("part", "batch_no")
-    top = F.max("batch_no").over(Window.partitionBy("part"))
-    return b.withColumn("depth", (top - F.col("batch_no")).cast("int"))
+    """The chain of checkpoints from each head, by the names that they give."""
+    links, heads, folder = _links(spark, sf_dir, 0)
+    return M.walk_chain(links, heads, folder).join(links, ["part", "key"]).select("part", "batch_no", "depth")
 
 
 @query("refs_delete_file", w("refs") + "SELECT part, base_offset FROM refs WHERE file_key <> 'f0-0'")
@@ -457,11 +466,43 @@ def elect_leader(spark, sf_dir):
     return M.elect(rows.withColumn("isr", isr))
 
 
-@query("topic_configs", "SELECT * FROM (VALUES ('t', 'retention.ms', '1000'), ('t', 'min.insync.replicas', '2'), ('t', 'cleanup.policy', 'delete')) t(topic, name, value)")
+_CHANGES = [
+    ("retention", "retention.ms", "set", "+1000"), ("retention", "retention.ms", "set", "86400000"), ("retention", "cleanup.policy", "set", "delete"), ("retention", "cleanup.policy", "delete", None),
+    ("replicas", "min.insync.replicas", "set", "2"), ("replicas", "unclean.leader.election.enable", "set", "T"),
+    ("back", "retention.ms", "delete", None), ("back", "tidelog.export.enabled", "delete", None), ("back", "tidelog.storage.mode", "set", "diskless"),
+    ("negative", "retention.ms", "set", "-1"), ("huge", "retention.ms", "set", "9223372036854775808"), ("word", "tidelog.export.enabled", "set", "yes"),
+    ("policy", "cleanup.policy", "set", "compact"), ("bytes", "retention.bytes", "set", "5"), ("schema", "tidelog.schema", "set", "{}"), ("mode", "tidelog.storage.mode", "set", "classic"),
+    ("mode gone", "tidelog.storage.mode", "delete", None), ("bad mode", "tidelog.storage.mode", "set", "x"), ("op", "retention.ms", "append", "5"), ("two", "a.b", "set", "1"), ("two", "retention.ms", "set", "x"),
+]
+# case -> error, retention, export, unclean; the error of "replicas" depends on the topic
+_ALTERED = "('retention', NULL, '86400000', 'true', 'false'), ('replicas', NULL, '5000', 'true', 'true'), ('back', NULL, '604800000', 'false', 'false'), ('none', NULL, '5000', 'true', 'false'), " + ", ".join(
+    f"('{case}', '{error}', '5000', 'true', 'false')"
+    for case, error in {
+        "negative": "invalid retention.ms", "huge": "invalid retention.ms", "word": "invalid tidelog.export.enabled", "policy": "only cleanup.policy=delete is supported",
+        "bytes": "retention.bytes is unsupported; use retention.ms (time-based retention only)", "schema": "tidelog.schema is immutable", "mode": "tidelog.storage.mode is immutable",
+        "mode gone": "tidelog.storage.mode is immutable", "bad mode": "invalid tidelog.storage.mode", "op": 'unsupported incremental alter op for "retention.ms"', "two": 'unsupported topic config "a.b"',
+    }.items()
+)
+_CONFIGS = w("windows") + f""", t AS (SELECT DISTINCT topic, length(topic) % 3 + 1 AS replicas FROM windows), a AS (SELECT * FROM (VALUES {_ALTERED}) v(c, error, retention, export, unclean)),
+r AS (SELECT concat(topic, '/', c) AS topic, CASE WHEN c = 'replicas' AND replicas < 2 THEN 'invalid min.insync.replicas' ELSE error END AS error, retention, export, CASE WHEN c = 'replicas' AND replicas < 2 THEN 'false' ELSE unclean END AS unclean, CASE WHEN c = 'replicas' AND replicas >= 2 THEN '2' ELSE '1' END AS sync FROM t CROSS JOIN a)
+"""
+
+
+def _altered(spark, sf_dir):
+    """Every topic in a copy for each case of changes."""
+    cases = F.explode(F.array(*map(F.lit, sorted({c[0] for c in _CHANGES} | {"none"})))).alias("case")
+    topics = rel(spark, sf_dir, "windows").select("topic").distinct().select(F.col("topic").alias("t"), cases)
+    set_before = F.create_map(*map(F.lit, ("tidelog.storage.mode", "diskless", "retention.ms", "5000", "tidelog.export.enabled", "true")))
+    topics = topics.select(F.concat("t", F.lit("/"), "case").alias("topic"), (F.length("t") % 3 + 1).alias("replicas"), set_before.alias("config"), "case")
+    changes = spark.createDataFrame([(k, *c) for k, c in enumerate(_CHANGES)], "ord int, case string, name string, op string, value string")
+    return configs.alter(topics.drop("case"), topics.select("topic", "case").join(changes, "case"))
+
+
+@query("topic_configs", _CONFIGS + """SELECT topic, error, u.name, u.value, u.is_default FROM r, LATERAL (VALUES ('tidelog.schema', NULL, true), ('tidelog.storage.mode', 'diskless', false), ('tidelog.export.enabled', export, export = 'false'), ('cleanup.policy', 'delete', true), ('min.insync.replicas', sync, false), ('retention.ms', retention, false), ('unclean.leader.election.enable', unclean, unclean = 'false')) u(name, value, is_default)""")
 def topic_configs(spark, sf_dir):
-    rows = spark.sql("SELECT 't' AS topic, map('retention.ms', '1000', 'min.insync.replicas', '1', 'cleanup.policy', 'delete') AS c")
-    changed = F.map_zip_with("c", F.create_map(F.lit("min.insync.replicas"), F.lit("2")), lambda k, a, b: F.coalesce(b, a))
-    return rows.select("topic", F.explode(changed).alias("name", "value"))
+    """Changes of each kind, then all values; a bad change leaves its topic as it was."""
+    done = _altered(spark, sf_dir)
+    return configs.describe(done).join(done.select("topic", "error"), "topic")
 
 
 @query("assign_replicated")
@@ -478,9 +519,9 @@ def assign_diskless(spark, sf_dir):
     return M.assign_diskless(before, spark.sql("SELECT * FROM VALUES ('n2'), ('n1') t(instance)"))
 
 
-@query("config_filter", "SELECT * FROM (VALUES ('t', 'retention.ms', '1000')) t(topic, name, value)")
+@query("config_filter", _CONFIGS + "SELECT topic, 'retention.ms' AS name, retention AS value, false AS is_default FROM r")
 def config_filter(spark, sf_dir):
-    return topic_configs(spark, sf_dir).where(F.col("name").isin("retention.ms", "unknown"))
+    return configs.describe(_altered(spark, sf_dir), ["retention.ms", "unknown"])
 
 
 @query("group_protocol_select", "SELECT * FROM (VALUES ('a', 'range'), ('b', 'sticky')) t(grp, protocol)")
