@@ -182,15 +182,37 @@ def _table(spark) -> ExportTable:
     return table
 
 
-@query("scan_iceberg_files", "SELECT * FROM (VALUES ('data/batch=0', 1::BIGINT), ('data/batch=1', 2), ('data/batch=2', 3)) t(directory, n)")
+def _appended(spark, sf_dir) -> ExportTable:
+    """A snapshot for each log partition, with a file for each hour."""
+    table = ExportTable(spark, _root(spark, "table"))
+    table.ensure_schema([{"name": "id", "type": "int64"}], 1)
+    rows = rel(spark, sf_dir, "ev_log").select("part", "record_offset", "record_timestamp", F.col("event_id").alias("id"), "dt", "hour")
+    rows.repartition("part", "dt", "hour").write.partitionBy("part", "dt", "hour").parquet(f"{table.root}/data")
+    for r in rows.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect():
+        table.commit(f"data/part={r.part}", r.n, {str(r.part): r.n})
+    return table
+
+
+@query("scan_iceberg_files", w("ev_log") + "SELECT part, dt, hour, cast(count(*) AS bigint) AS record_count, min(record_offset) AS first_offset, max(record_offset) AS last_offset FROM ev_log GROUP BY part, dt, hour")
 def scan_iceberg_files(spark, sf_dir):
-    return spark.createDataFrame([(s["directory"], s["rows"]) for s in _table(spark).metadata()["snapshots"]], "directory string, n long")
+    """Data files of the current snapshot with their statistics, through its manifest list and manifests."""
+    rows = []
+    for f in _appended(spark, sf_dir).files():
+        low, high = ({b["key"]: int.from_bytes(b["value"], "little", signed=True) for b in f[side]} for side in ("lower_bounds", "upper_bounds"))
+        rows.append((int(f["file_path"].split("part=")[1].split("/")[0]), f["partition"]["dt"], f["partition"]["hour"], f["record_count"], low[1], high[1]))
+    return spark.createDataFrame(rows, "part int, dt string, hour int, record_count long, first_offset long, last_offset long")
 
 
-@query("sink_snapshot_append", "SELECT 3::BIGINT AS snapshots, 6::BIGINT AS n")
+@query("sink_snapshot_append", w("ev_log") + ", f AS (SELECT part, cast(count(*) AS bigint) AS records, cast(count(DISTINCT concat(dt, '/', hour)) AS bigint) AS files FROM ev_log GROUP BY part) SELECT part + 1 AS nth, records, files, cast(sum(records) OVER (ORDER BY part) AS bigint) AS total_records, cast(sum(files) OVER (ORDER BY part) AS bigint) AS total_files, cast(part + 1 AS bigint) AS manifests FROM f")
 def sink_snapshot_append(spark, sf_dir):
-    found = _table(spark).metadata()["snapshots"]
-    return spark.createDataFrame([(len(found), sum(s["rows"] for s in found))], "snapshots long, n long")
+    """Snapshots one after the other; each has the manifests of those before it."""
+    table = _appended(spark, sf_dir)
+    document, rows = table.document(), []
+    for nth, s in enumerate(document["snapshots"], 1):
+        n = lambda name, s=s: int(s["summary"][name])
+        manifests = table.manifests(document | {"current-snapshot-id": s["snapshot-id"]})
+        rows.append((nth, n("added-records"), n("added-data-files"), n("total-records"), n("total-data-files"), len(manifests)))
+    return spark.createDataFrame(rows, "nth int, records long, files long, total_records long, total_files long, manifests long")
 
 
 @query("sink_cas_commit", "SELECT 4::BIGINT AS version, false AS second_writer")
@@ -198,7 +220,7 @@ def sink_cas_commit(spark, sf_dir):
     """Two writers of one version: the second is refused."""
     table = _table(spark)
     try:
-        table.store.create(f"metadata/v{table.version():012d}.json", {"other": True})
+        table.store.create(f"metadata/v{table.version()}.metadata.json", {"other": True})
         second = True
     except Conflict:
         second = False

@@ -86,6 +86,20 @@ class Store:
         finally:
             stream.close()
 
+    def put_bytes(self, name: str, raw: bytes, overwrite: bool = False) -> None:
+        out = self._fs.create(self._path(name), overwrite)
+        try:
+            out.write(bytearray(raw))
+        finally:
+            out.close()
+
+    def read_bytes(self, name: str) -> bytes:
+        stream = self._fs.open(self._path(name))
+        try:
+            return bytes(self._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+        finally:
+            stream.close()
+
     def read(self, name: str) -> dict:
         return json.loads(self.read_text(name))
 
