@@ -70,3 +70,22 @@ def test_offset_check_by_blocks(spark):
     for block in (4096, 8, 1):
         got = {r.part: tuple(r)[1:] for r in aggregate.offset_check(df, 2, block).collect()}
         assert got == {0: (29, 5, 39, 6, [7, 16]), 1: (1, 3, 3, 0, [])}
+
+
+def test_paced_as_a_bucket(spark):
+    """The closed form against a bucket with its tokens counted."""
+    import random
+    from fractions import Fraction
+
+    rng = random.Random(4)
+    at = sorted(rng.randrange(400) for _ in range(60))
+    for rate, burst in ((100, 1), (100, 7), (30, 3), (1500, 4)):
+        tokens, last, want = Fraction(burst), Fraction(at[0]), []
+        for t in at:
+            now = max(Fraction(t), last)
+            tokens = min(Fraction(burst), tokens + (now - last) * rate / 1000)
+            wait = max(Fraction(0), (1 - tokens) * 1000 / rate)
+            tokens, last = tokens + wait * rate / 1000 - 1, now + wait
+            want.append(-(-last.numerator // last.denominator))
+        df = spark.createDataFrame([(0, k, t) for k, t in enumerate(at)], "part int, k long, at long")
+        assert [r.goes_at for r in jobs.paced(df, "k", "at", rate, burst).orderBy("k").collect()] == want

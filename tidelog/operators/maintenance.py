@@ -263,3 +263,19 @@ def walk_chain(links: DataFrame, heads: DataFrame, folder: str) -> DataFrame:
     if lost:
         raise BrokenChain(f"partition {lost[0].part}: checkpoint {lost[0].key} is missing")
     return reached_now
+
+
+def select_protocol(joins: DataFrame) -> DataFrame:
+    """The protocol of a group that a member joins: the group's own if the member offers it, the first if it has none.
+
+    joins: current (null or empty if the group has none yet), offered (in the member's order). ``protocol`` is null
+    where they can't agree.
+    """
+    none = F.coalesce(F.col("current"), F.lit("")) == ""
+    return joins.withColumn("protocol", F.when(none, F.try_element_at("offered", F.lit(1))).when(F.array_contains("offered", F.col("current")), F.col("current")))
+
+
+def stale_objects(objects: DataFrame, topics: DataFrame) -> DataFrame:
+    """Objects (topic, part) whose topic is gone, or never had that partition. topics: topic, partitions."""
+    known = objects.join(topics, "topic", "left")
+    return known.where(F.col("partitions").isNull() | (F.col("part") >= F.col("partitions"))).select("topic", "part")

@@ -178,13 +178,20 @@ def batch_split(spark, sf_dir):
     return joined.mapInPandas(run, "part int, n long, records long").groupBy("part").agg(F.sum("n").alias("n"), F.sum("records").alias("records"))
 
 
-@query("encode_avro", w("ev_log") + "SELECT cast(count(*) AS bigint) AS n FROM ev_log")
+# bytes of a number in groups of seven bits
+_SIZE = "(length(bin({0})) + 6) // 7"
+_SECONDS, _NANOS = "record_timestamp // 1000", "record_timestamp % 1000 * 1000000"
+_STAMP = f"(2 + {_SIZE.format(_SECONDS)} + {_SIZE.format(_NANOS)})"
+
+
+@query("encode_avro", w("ev_log") + f"SELECT event_id, cast(5 + {_SIZE.format('2 * event_id')} + {_SIZE.format('2 * octet_length(event_type::BLOB)')} + octet_length(event_type::BLOB) + 1 + CASE WHEN event_id % 3 <> 0 THEN 8 ELSE 0 END + 1 + {_SIZE.format('2 * record_timestamp')} AS bigint) AS nbytes, '0000000007' AS envelope FROM ev_log")
 def encode_avro_rows(spark, sf_dir):
+    """Each value's size as its types give it, behind the envelope with the schema's id."""
     rows = rel(spark, sf_dir, "ev_log").withColumn("raw", _encoded("avro"))
-    return rows.agg(F.count_if(F.length("raw") > 5).alias("n"))
+    return rows.select("event_id", F.length("raw").cast("long").alias("nbytes"), F.hex(F.substring("raw", 1, 5)).alias("envelope"))
 
 
-@query("encode_protobuf", w("ev_log") + "SELECT cast(count(*) AS bigint) AS n FROM ev_log")
+@query("encode_protobuf", w("ev_log") + f"SELECT event_id, cast(1 + {_SIZE.format('event_id')} + 1 + {_SIZE.format('octet_length(event_type::BLOB)')} + octet_length(event_type::BLOB) + CASE WHEN event_id % 3 <> 0 THEN 9 ELSE 0 END + 2 + 1 + {_SIZE.format(_STAMP)} + {_STAMP} AS bigint) AS nbytes, '08' AS first_tag FROM ev_log")
 def encode_protobuf_rows(spark, sf_dir):
     rows = rel(spark, sf_dir, "ev_log").withColumn("raw", _encoded("protobuf"))
-    return rows.agg(F.count_if(F.length("raw") > 5).alias("n"))
+    return rows.select("event_id", F.length("raw").cast("long").alias("nbytes"), F.hex(F.substring("raw", 1, 1)).alias("first_tag"))

@@ -484,10 +484,11 @@ def stream_backpressure(spark, sf_dir):
     return rows.groupBy("producer", "part", "admitted").agg(F.count("*").alias("n"))
 
 
-@query("stream_rate_limit")
+@query("stream_rate_limit", w("ev_log") + ", n AS (SELECT part, record_offset, record_timestamp // 3600000 AS t, row_number() OVER (PARTITION BY part ORDER BY record_offset) AS i FROM ev_log), v AS (SELECT *, max(2 * t - 1 * i) OVER (PARTITION BY part ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM n) SELECT part, record_offset, cast(ceil(greatest(2 * t, coalesce(m + i - 9, 2 * t)) / 2.0) AS bigint) AS goes_at FROM v")
 def stream_rate_limit(spark, sf_dir):
-    rows = rel(spark, sf_dir, "ev_log").withColumn("at", F.lit(0).cast("long"))
-    return jobs.paced(rows, "record_offset", "at", 100, 10).select("part", "record_offset", "goes_at")
+    """Two records a millisecond, ten at once, on a clock that runs an hour a millisecond."""
+    rows = rel(spark, sf_dir, "ev_log").withColumn("at", F.expr("record_timestamp div 3600000"))
+    return jobs.paced(rows, "record_offset", "at", 2000, 10).select("part", "record_offset", "goes_at")
 
 
 @query("stream_watermark", w("observed") + "SELECT part, ord, max(hw) OVER (PARTITION BY part ORDER BY ord) AS committed FROM observed")

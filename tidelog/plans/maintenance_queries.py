@@ -397,9 +397,12 @@ def sort_jobs(spark, sf_dir):
     return rows.withColumn("nth", F.row_number().over(Window.partitionBy("part").orderBy("updated", "job_id")).cast("long"))
 
 
-@query("sort_members", w("commits") + "SELECT grp, min(topic) AS leader FROM commits GROUP BY grp")
+@query("sort_members", w("produced") + "SELECT node AS grp, string_agg(DISTINCT 'm' || process, ',' ORDER BY 'm' || process) AS members, 'm' || min(process) AS leader FROM produced WHERE process % 3 <> part % 3 GROUP BY node")
 def sort_members(spark, sf_dir):
-    return rel(spark, sf_dir, "commits").groupBy("grp").agg(F.min("topic").alias("leader"))
+    """Members of each group by id; the first one leads."""
+    rows = rel(spark, sf_dir, "produced").where("process % 3 <> part % 3")
+    members = F.array_sort(F.collect_set(F.concat(F.lit("m"), F.col("process").cast("string"))))
+    return rows.groupBy(F.col("node").alias("grp")).agg(F.array_join(members, ",").alias("members"), F.element_at(members, 1).alias("leader"))
 
 
 @query("sink_offsets", w("commits") + "SELECT grp, topic, part, arg_max(committed, commit_ord) AS committed FROM commits GROUP BY 1, 2, 3")
@@ -524,10 +527,13 @@ def config_filter(spark, sf_dir):
     return configs.describe(_altered(spark, sf_dir), ["retention.ms", "unknown"])
 
 
-@query("group_protocol_select", "SELECT * FROM (VALUES ('a', 'range'), ('b', 'sticky')) t(grp, protocol)")
+@query("group_protocol_select", w("commits") + "SELECT DISTINCT grp, topic, CASE grp WHEN 'g0' THEN CASE WHEN length(topic) % 3 = 0 THEN 'sticky' WHEN length(topic) % 3 = 1 THEN 'range' END WHEN 'g1' THEN CASE WHEN length(topic) % 3 = 0 THEN 'range' WHEN length(topic) % 3 = 1 THEN 'range' END END AS protocol FROM commits")
 def group_protocol_select(spark, sf_dir):
-    rows = spark.sql("SELECT * FROM VALUES ('a', 'range', array('sticky', 'range')), ('b', 'gone', array('sticky', 'range')) t(grp, current, offered)")
-    return rows.select("grp", F.when(F.array_contains("offered", F.col("current")), F.col("current")).otherwise(F.element_at("offered", 1)).alias("protocol"))
+    """Groups without a protocol, with one that is offered and with one that is not; the last group's members offer none."""
+    joins = rel(spark, sf_dir, "commits").select("grp", "topic").distinct()
+    joins = joins.withColumn("current", F.expr("CASE length(topic) % 3 WHEN 1 THEN 'range' WHEN 2 THEN 'gone' END"))
+    offered = F.expr("CASE grp WHEN 'g0' THEN array('sticky', 'range') WHEN 'g1' THEN array('range') ELSE cast(array() AS array<string>) END")
+    return M.select_protocol(joins.withColumn("offered", offered)).select("grp", "topic", "protocol")
 
 
 @query("group_delete_describe", "SELECT * FROM (VALUES ('a', true), ('b', false)) t(grp, deletable)")
@@ -563,10 +569,12 @@ def isr_lag(spark, sf_dir):
     return seen.crossJoin(F.broadcast(seen.agg(F.max("seen").alias("now")))).where("seen >= now - 40").select("part", "node")
 
 
-@query("isr_stale_gc", w("windows") + "SELECT DISTINCT topic, part FROM windows WHERE topic NOT IN ('view', 'click')")
+@query("isr_stale_gc", w("windows") + "SELECT DISTINCT topic, part FROM windows WHERE topic = 'click' OR part > length(topic) % 4")
 def isr_stale_gc(spark, sf_dir):
+    """One topic is gone; others have as many partitions as their names say."""
     objects = rel(spark, sf_dir, "windows").select("topic", "part").distinct()
-    return objects.join(F.broadcast(spark.sql("SELECT * FROM VALUES ('view'), ('click') t(topic)")), "topic", "left_anti").select("topic", "part")
+    topics = objects.select("topic").distinct().where("topic <> 'click'").withColumn("partitions", F.length("topic") % 4 + 1)
+    return M.stale_objects(objects, topics)
 
 
 @query("log_recover", w("batches") + "SELECT part, coalesce(min(first_offset) FILTER (batch_no % 17 = 13 OR batch_no % 29 = 24), max(last_offset) + 1) AS next_offset FROM batches GROUP BY part")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..sources.generator import LISTS, event_columns
 from .catalog import query
 from .fixtures import relation as rel
 from .fixtures import with_clause as w
@@ -185,8 +186,12 @@ def manifest_content_hash(spark, sf_dir):
     return rel(spark, sf_dir, "files").groupBy("dt").agg(F.substring(F.sha2(F.concat_ws("|", F.array_sort(F.collect_list(entry))), 256), 1, 12).alias("content"))
 
 
-@query("bench_event_generate", "SELECT seq, concat('user-', cast(seq % 10000 AS varchar)) AS user_id, concat('session-', cast((seq // 3) % 50000 AS varchar)) AS session_id, 1700000000 + seq AS event_s, seq % 60000 + 1 AS duration_ms, (seq % 1000) / 100.0::DOUBLE AS revenue FROM range(5000) t(seq)")
-def bench_event_generate(spark, sf_dir):
-    from ..sources.generator import web_events
+def _picked(name: str) -> str:
+    values = ", ".join("'" + v.replace("'", "''") + "'" for v in LISTS[name])
+    return f"[{values}][event_id % {len(LISTS[name])} + 1] AS {name}"
+
 
-    return web_events(spark, 5000).select("seq", "user_id", "session_id", F.unix_seconds("event_time").alias("event_s"), "duration_ms", "revenue")
+@query("bench_event_generate", w("ev_log") + f"SELECT 'run' AS run_id, event_id AS id, 'xyz' AS payload, 3::BIGINT AS payload_bytes, event_id AS sequence, event_id, concat('user-', event_id % 10000) AS user_id, concat('session-', (event_id // 3) % 50000) AS session_id, {', '.join(map(_picked, LISTS))}, strftime(to_timestamp(1700000000 + event_id), '%Y-%m-%dT%H:%M:%SZ') AS event_time, event_id % 60000 + 1 AS duration_ms, (event_id % 1000) / 100.0::DOUBLE AS revenue FROM ev_log")
+def bench_event_generate(spark, sf_dir):
+    """All fields of the events whose sequence numbers the log holds."""
+    return rel(spark, sf_dir, "ev_log").select(*event_columns(F.col("event_id"), "run", "xyz"))
