@@ -183,17 +183,17 @@ def _table(spark) -> ExportTable:
 
 
 def _appended(spark, sf_dir) -> ExportTable:
-    """A snapshot for each log partition, with a file for each hour."""
+    """A snapshot for each log partition, with a file for each half day."""
     table = ExportTable(spark, _root(spark, "table"))
     table.ensure_schema([{"name": "id", "type": "int64"}], 1)
-    rows = rel(spark, sf_dir, "ev_log").select("part", "record_offset", "record_timestamp", F.col("event_id").alias("id"), "dt", "hour")
+    rows = rel(spark, sf_dir, "ev_log").select("part", "record_offset", "record_timestamp", F.col("event_id").alias("id"), "dt", F.expr("hour div 12 * 12").cast("int").alias("hour"))
     rows.repartition("part", "dt", "hour").write.partitionBy("part", "dt", "hour").parquet(f"{table.root}/data")
     for r in rows.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect():
         table.commit(f"data/part={r.part}", r.n, {str(r.part): r.n})
     return table
 
 
-@query("scan_iceberg_files", w("ev_log") + "SELECT part, dt, hour, cast(count(*) AS bigint) AS record_count, min(record_offset) AS first_offset, max(record_offset) AS last_offset FROM ev_log GROUP BY part, dt, hour")
+@query("scan_iceberg_files", w("ev_log") + "SELECT part, dt, cast(hour // 12 * 12 AS int) AS hour, cast(count(*) AS bigint) AS record_count, min(record_offset) AS first_offset, max(record_offset) AS last_offset FROM ev_log GROUP BY part, dt, hour // 12")
 def scan_iceberg_files(spark, sf_dir):
     """Data files of the current snapshot with their statistics, through its manifest list and manifests."""
     rows = []
@@ -203,7 +203,7 @@ def scan_iceberg_files(spark, sf_dir):
     return spark.createDataFrame(rows, "part int, dt string, hour int, record_count long, first_offset long, last_offset long")
 
 
-@query("sink_snapshot_append", w("ev_log") + ", f AS (SELECT part, cast(count(*) AS bigint) AS records, cast(count(DISTINCT concat(dt, '/', hour)) AS bigint) AS files FROM ev_log GROUP BY part) SELECT part + 1 AS nth, records, files, cast(sum(records) OVER (ORDER BY part) AS bigint) AS total_records, cast(sum(files) OVER (ORDER BY part) AS bigint) AS total_files, cast(part + 1 AS bigint) AS manifests FROM f")
+@query("sink_snapshot_append", w("ev_log") + ", f AS (SELECT part, cast(count(*) AS bigint) AS records, cast(count(DISTINCT concat(dt, '/', hour // 12)) AS bigint) AS files FROM ev_log GROUP BY part) SELECT part + 1 AS nth, records, files, cast(sum(records) OVER (ORDER BY part) AS bigint) AS total_records, cast(sum(files) OVER (ORDER BY part) AS bigint) AS total_files, cast(part + 1 AS bigint) AS manifests FROM f")
 def sink_snapshot_append(spark, sf_dir):
     """Snapshots one after the other; each has the manifests of those before it."""
     table = _appended(spark, sf_dir)
@@ -464,19 +464,33 @@ def job_bounded_parallel(spark, sf_dir):
     return spark.createDataFrame([(len(planned), len(done), sum(e is not None for e in errors), most <= 4)], "tasks long, done long, failed long, bounded boolean")
 
 
-@query("stream_microbatch_trigger")
+def _flushed(most_bytes: int, most_ms: int) -> str:
+    """The buffer's steps as a recursion: a row's batch, then the first time and the bytes that are left in the buffer."""
+    after = f"CASE WHEN total >= {most_bytes} THEN batch + 1 ELSE batch END AS next, CASE WHEN total < {most_bytes} THEN first END AS first, CASE WHEN total < {most_bytes} THEN total ELSE 0 END AS total"
+    step = f"SELECT o.part, o.i, o.record_offset, o.n, f.next + CASE WHEN o.t - f.first >= {most_ms} THEN 1 ELSE 0 END AS batch, CASE WHEN o.t - f.first < {most_ms} THEN f.first ELSE o.t END AS first, CASE WHEN o.t - f.first >= {most_ms} THEN 0 ELSE f.total END + o.n AS total FROM f JOIN o ON o.part = f.part AND o.i = f.i + 1"
+    return w("ev_log", recursive=True) + f", o AS (SELECT part, record_offset, record_timestamp AS t, nbytes AS n, row_number() OVER (PARTITION BY part ORDER BY record_offset) AS i FROM ev_log), f AS (SELECT part, i, record_offset, n, batch, {after} FROM (SELECT part, i, record_offset, n, 0 AS batch, t AS first, n AS total FROM o WHERE i = 1) UNION ALL SELECT part, i, record_offset, n, batch, {after} FROM ({step})) "
+
+
+@query("stream_microbatch_trigger", _flushed(500, 3_600_000) + "SELECT part, cast(batch AS int) AS flush, cast(count(*) AS bigint) AS n, cast(sum(n) AS bigint) AS nbytes FROM f GROUP BY part, batch")
 def stream_microbatch_trigger(spark, sf_dir):
     rows = jobs.flushes(rel(spark, sf_dir, "ev_log"), "record_offset", "record_timestamp", "nbytes", 500, 3_600_000)
     return rows.groupBy("part", "flush").agg(F.count("*").alias("n"), F.sum("nbytes").alias("nbytes"))
 
 
-@query("stream_linger_buffer")
+@query("stream_linger_buffer", _flushed(1 << 60, 7_200_000) + "SELECT part, cast(batch AS int) AS flush, min(record_offset) AS first_offset, cast(count(*) AS bigint) AS n FROM f GROUP BY part, batch")
 def stream_linger_buffer(spark, sf_dir):
     rows = jobs.flushes(rel(spark, sf_dir, "ev_log"), "record_offset", "record_timestamp", "nbytes", 1 << 60, 7_200_000)
     return rows.groupBy("part", "flush").agg(F.min("record_offset").alias("first_offset"), F.count("*").alias("n"))
 
 
-@query("stream_backpressure")
+_HELD = range(4)
+_OPEN = " + ".join(f"CASE WHEN h{k} > 0 OR o.part = {k} THEN 1 ELSE 0 END" for k in _HELD)
+_FITS = f"({' + '.join(f'h{k}' for k in _HELD)} + o.n <= 200 * ({_OPEN}))"
+_PUT = ", ".join(f"CASE WHEN o.part <> {k} OR NOT {_FITS} THEN h{k} WHEN h{k} + o.n > 150 THEN 0 ELSE h{k} + o.n END AS h{k}" for k in _HELD)
+_BUFFERS = w("ev_log", recursive=True) + f", o AS (SELECT event_type AS producer, part, nbytes AS n, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS i FROM ev_log), f AS (SELECT DISTINCT producer, 0::BIGINT AS i, -1 AS part, false AS admitted, {', '.join(f'0::BIGINT AS h{k}' for k in _HELD)} FROM o UNION ALL SELECT o.producer, o.i, o.part, {_FITS} AS admitted, {_PUT} FROM f JOIN o ON o.producer = f.producer AND o.i = f.i + 1) "
+
+
+@query("stream_backpressure", _BUFFERS + "SELECT producer, part, admitted, cast(count(*) AS bigint) AS n FROM f WHERE i > 0 GROUP BY producer, part, admitted")
 def stream_backpressure(spark, sf_dir):
     """A producer for each event type, each with a buffer for each partition, in order of events."""
     rows = rel(spark, sf_dir, "ev_log").withColumn("producer", F.col("event_type"))

@@ -125,7 +125,7 @@ def merge_segments(spark, sf_dir):
     return out.mapInPandas(check, "part int, run int, base_offset long, end_offset long, n long, records long, batches long, ok boolean")
 
 
-@query("w_range_coalesce")
+@query("w_range_coalesce", w("refs", recursive=True) + ", g AS (SELECT file_key, byte_length AS n, coalesce(sum(byte_length) OVER (PARTITION BY file_key ORDER BY part, base_offset ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b, row_number() OVER (PARTITION BY file_key ORDER BY part, base_offset) AS i FROM refs), f AS (SELECT file_key, i, b, n, 1 AS k, n AS total FROM g WHERE i = 1 UNION ALL SELECT g.file_key, g.i, g.b, g.n, CASE WHEN f.total + g.n > 6000 THEN f.k + 1 ELSE f.k END, CASE WHEN f.total + g.n > 6000 THEN g.n ELSE f.total + g.n END FROM f JOIN g ON g.file_key = f.file_key AND g.i = f.i + 1) SELECT file_key, cast(k AS int) AS range_no, cast(min(b) AS bigint) AS byte_offset, cast(sum(n) AS bigint) AS byte_length FROM f GROUP BY file_key, k")
 def w_range_coalesce(spark, sf_dir):
     before = Window.partitionBy("file_key").orderBy("part", "base_offset").rowsBetween(Window.unboundedPreceding, -1)
     ranges = rel(spark, sf_dir, "refs").withColumn("byte_offset", F.coalesce(F.sum("byte_length").over(before), F.lit(0).cast("long")))
