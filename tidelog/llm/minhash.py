@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch, mix, run_hashes, text_blocks, word_hashes
+from .common import WORD, Scratch, mix, run_hashes, text_blocks, tidy, word_hashes
 
 _U = np.uint64
 
@@ -101,6 +101,7 @@ def _features(p: MinHash):
             at = to
         return halves, sketch, ids
 
+    @tidy
     def run(batches):
         for batch in batches:
             texts = batch.column(3)
@@ -126,6 +127,7 @@ def _features(p: MinHash):
 
 
 def _sets(length: int):
+    @tidy
     def run(batches):
         for batch in batches:
             sets = [s.tobytes() for s in shingle_sets(batch.column(1), length)]
@@ -135,6 +137,7 @@ def _sets(length: int):
 
 
 def _linked(percent: int):
+    @tidy
     def run(batches):
         for batch in batches:
             a, b = batch.column("x_set"), batch.column("y_set")
@@ -256,6 +259,7 @@ def _near(percent: int):
     """Edges that bring all members of a bucket's blocks together that may be alike, where their components differ."""
     least = _likely(percent)
 
+    @tidy
     def run(batches):
         for t in _groups(batches):
             node, n, label, block = (t.column(c).to_numpy() for c in ("node", "n", "label", "block"))
@@ -348,6 +352,7 @@ def links_between(outer: list[np.ndarray], every: list[np.ndarray], own: np.ndar
 
 
 def _compared(percent: int):
+    @tidy
     def run(batches):
         for t in _groups(batches):
             outer = t.column("outer").to_numpy()

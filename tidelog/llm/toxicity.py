@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices, tidy
+
 DECAY = 0.6
 _MARK, _CODES = 31, 32  # 1 to 26: letters; 27 to 30: other letters and digits; 31: a word's border
 _SPAN3, _SPAN4 = 5, 7
@@ -487,6 +489,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from, params: Kernel = Kernel(
     sample = texts.join(F.broadcast(chosen), "doc_id")  # three times ``rows`` ids
     sample = sample.groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("one")).select("doc_id", "toxic", "one.text")
 
+    @tidy
     def learn(batches):
         rows = sorted((i, y, t) for b in batches for i, y, t in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True))
         m = train([t for _, _, t in rows], np.array([y for _, y, _ in rows], bool), p)
@@ -509,9 +512,10 @@ def classify(docs: DataFrame, labels: DataFrame, held_out, params: Kernel = Kern
     model = fit(docs, labels, lambda c: ~held_out(c), params)
     handle = docs.sparkSession.sparkContext.broadcast(model)  # 4 MB, fixed
 
+    @tidy
     def run(batches):
         m = handle.value
-        for batch in batches:
+        for batch in slices(batches):
             s = m.score([t or "" for t in batch.column(2).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
@@ -525,9 +529,10 @@ def reject(docs: DataFrame, labels: DataFrame, held_out, params: Kernel = Kernel
     handle = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
+    @tidy
     def run(batches):
         m = handle.value
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pa.array(m.score([t or "" for t in batch.column(at).to_pylist()]) < 0.5))
 
     return docs.mapInArrow(run, docs.schema)
