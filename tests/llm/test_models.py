@@ -210,6 +210,54 @@ def test_leaks_of_a_large_benchmark(spark, documents):
     assert (50, 2500) in got
 
 
+def test_latent_space_of_all_documents(spark, documents):
+    """The space is that of the passages of all rows, however many, and of the items; ids have no part in it."""
+    rng = random.Random(9)
+    words = [f"{a}{b}" for a in WORDS[:12] for b in WORDS[:12]]
+    texts = [" ".join(rng.choice(words) for _ in range(n)) for n in (0, 1, 31, 32, 33, 64, 65, 700, *(rng.randrange(120) for _ in range(150)))] + [None]
+    items = pa.array([" ".join(rng.choice(words) for _ in range(n)) for n in (3, 20, 45)])
+    p = decontam.Latent(rank=4, sample=40, bits=9)
+    docs = documents([(None if k % 5 == 0 else k // 3, t) for k, t in enumerate(texts)]).repartition(3)
+    hashed = decontam.hashed_words(docs, p)
+    df, n = decontam.document_frequencies(hashed, p)
+
+    def buckets(text):
+        column = pa.array([text], pa.string())
+        return [b for _, data, offsets in decontam.text_blocks(column) for b in decontam._buckets(decontam.word_hashes(data, offsets, fold=True)[0], p).tolist()]
+
+    listed = [buckets(t) for t in texts]
+    assert n == len(texts) and df.tolist() == [sum(b in set(x) for x in listed) for b in range(1 << p.bits)]
+    idf = np.log((1.0 + n) / (1.0 + df)) + 0.01
+
+    def vector(ids):
+        x = np.bincount(ids, minlength=1 << p.bits) * idf
+        return x / np.linalg.norm(x)
+
+    own = 24 * np.array([vector(buckets(t.as_py())) for t in items])
+    parts = np.array([vector(x[k : k + p.window]) for x in listed for k in range(0, len(x), p.window)])
+    gram = own.T @ own + p.sample / n * parts.T @ parts
+    basis = np.random.default_rng(p.seed).standard_normal((1 << p.bits, p.rank + 8))
+    for _ in range(2):
+        basis = gram @ np.linalg.qr(basis)[0]
+    basis, _ = np.linalg.qr(basis)
+    want = basis @ np.linalg.svd(own @ basis)[2].T[:, :3]  # the items span three directions
+    got = decontam.latent_space(hashed, n, items, idf.astype(np.float32), p)[:, :3]
+    assert np.abs(got @ got.T - want @ want.T).max() < 1e-3
+
+
+def test_leaks_do_not_depend_on_a_sample(spark, documents):
+    """Cosines are the same whatever the rows' ids, which once chose the documents of the space."""
+    rng = random.Random(10)
+    words = [f"{a}{b}" for a in WORDS[:12] for b in WORDS[:12]]
+    items = [" ".join(rng.choice(words) for _ in range(30)) for _ in range(12)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(100))) + " " + items[k % 12] * (k % 10 == 0) for k in range(400)]
+    texts[0] = items[0] + " " + " ".join(rng.choice(words[:40]) for _ in range(20_000))  # a row that shapes the space
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    p = decontam.Latent(rank=2, sample=100)
+    found = [sorted(r.cosine for r in decontam.find_leaks(documents([(i(k), t) for k, t in enumerate(texts)]).coalesce(1), bench, p).collect()) for i in (lambda k: k, lambda k: 7 * k + 1000, lambda k: k % 3)]
+    assert [len(x) for x in found] == [40] * 3 and np.ptp(found, axis=0).max() < 1e-4
+
+
 @pytest.fixture(scope="module")
 def corner(spark, tmp_path_factory):
     """Labels and a benchmark, and documents with odd ids and columns of many names."""

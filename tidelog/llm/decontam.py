@@ -2,13 +2,13 @@
 
 Passages (windows of words) and benchmark items are TF-IDF vectors over hashed words; document frequencies are counted
 over all documents. A randomised SVD, whose products with the passage matrix are computed by tasks, gives the latent
-space; the items and a bounded sample of passages make up the matrix, items weighted so that the space holds them. All
-passages of all documents are then projected, block by block, and candidates are those with a cosine of at least
-``cosine`` to an item. The space has fewer dimensions than a large benchmark has items, so that it may not hold all of
-them; a second search by words finds every passage whose surroundings can pass the comparison, whatever the number of
-items. A candidate's surroundings are compared with the item's words by longest common subsequence; one
-that covers most of the item is a leak, one that covers part of it is a leak if the item's answer (its last part) is
-there too, so that paraphrases are caught and shared phrases are not.
+space; the items and the passages of all documents make up the matrix, items weighted so that the space holds them. All
+passages are then projected, block by block, and candidates are those with a cosine of at least ``cosine`` to an item.
+The space has fewer dimensions than a large benchmark has items, so that it may not hold all of them; a second search by
+words finds every passage whose surroundings can pass the comparison, whatever the number of items. A candidate's
+surroundings are compared with the item's words by longest common subsequence; one that covers most of the item is a
+leak, one that covers part of it is a leak if the item's answer (its last part) is there too, so that paraphrases are
+caught and shared phrases are not.
 """
 
 from __future__ import annotations
@@ -23,17 +23,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, text_blocks, word_hashes
+from .common import WORD, Scratch, text_blocks, tidy, word_hashes
 
 _U = np.uint64
 _CHUNK = 256  # blocks projected at a time
 _CUTS = 32  # pieces of a matrix that is summed
+_WIDE = 32  # rows added at a time
+_SUMS = 64  # such sums at a time
+_PASSAGES = 1 << 15  # passages multiplied at a time
 _FLAGS = 20  # bits of a word's hash that tell most other words from an item's
 
 
 @dataclass(frozen=True)
 class Latent:
-    """window: words of a passage, twice the stride; bits: of the word hash; rank: of the space; sample: documents the space is fitted on.
+    """window: words of a passage, twice the stride; bits: of the word hash; rank: of the space; sample: documents that all documents weigh as much as, at most, against the items.
 
     covered: LCS share of an item's words that is a leak; partly, answer: shares of the item and of its last ``tail``
     that are one together. block: items compared at a time.
@@ -57,43 +60,72 @@ def _buckets(words: np.ndarray, p: Latent) -> np.ndarray:
     return (words >> _U(64 - p.bits)).astype(np.int64)
 
 
-def _frequencies(p: Latent):
+def _kind(p: Latent) -> np.dtype:
+    return np.dtype(np.uint16 if p.bits <= 16 else np.uint32)
+
+
+def _ordered(group: np.ndarray, buckets: np.ndarray, p: Latent) -> np.ndarray:
+    """Pairs (group, bucket) as sorted numbers, of 4 bytes where they fit; groups ascend."""
+    pair = group << p.bits | buckets
+    return np.sort(pair.astype(np.uint32) if len(pair) and (int(group[-1]) + 1) << p.bits <= 1 << 32 else pair)
+
+
+def _passages(at: np.ndarray, p: Latent) -> np.ndarray:
+    """First words of the passages side by side, for texts whose words begin at ``at``."""
+    n = -(-np.diff(at) // p.window)
+    return np.repeat(at[:-1], n) + p.window * (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+
+
+def _hashed(p: Latent):
+    low = (1 << p.bits) - 1
+
     def run(batches):
         count, docs = np.zeros(1 << p.bits, np.int64), 0
         for batch in batches:
             docs += batch.num_rows
             for _, data, offsets in text_blocks(batch.column(0)):
                 words, at = word_hashes(data, offsets, fold=True)
-                doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
-                pair = np.unique(doc << p.bits | _buckets(words, p))
-                count += np.bincount(pair & ((1 << p.bits) - 1), minlength=1 << p.bits)
+                b = _buckets(words, p)
+                pair = _ordered(np.repeat(np.arange(len(at) - 1), np.diff(at)), b, p)
+                new = np.ones(len(pair), bool)
+                new[1:] = pair[1:] != pair[:-1]
+                count += np.bincount(pair[new] & low, minlength=1 << p.bits)
+                begin = _passages(at, p)
+                b = (_ordered(np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(b)))), b, p) & low).astype(_kind(p))
+                texts = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((at * b.itemsize).astype(np.int32)), pa.py_buffer(b)])
+                none = pa.nulls(len(texts), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, none, texts], ["bucket", "n", "words"])
         where = np.flatnonzero(count)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(where, -1)), pa.array(np.append(count[where], docs))], ["bucket", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(where, -1)), pa.array(np.append(count[where], docs)), pa.nulls(len(where) + 1, pa.binary())], ["bucket", "n", "words"])
+
+    return tidy(run)
 
-    return run
 
+def hashed_words(docs: DataFrame, p: Latent) -> DataFrame:
+    """A scratch table of each text's hashed words, sorted within passages, and of the texts a task has for each bucket (-1: at all)."""
+    found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_hashed(p), "bucket long, n long, words binary")
+    return Scratch(docs.sparkSession, "decontam").keep(found, "words")
 
-def document_frequencies(docs: DataFrame, p: Latent) -> tuple[np.ndarray, int]:
-    """Documents with each hashed word, and documents at all; each task sends a row for each bucket at most."""
-    found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_frequencies(p), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+
+def document_frequencies(hashed: DataFrame, p: Latent) -> tuple[np.ndarray, int]:
+    """Documents with each hashed word, and documents at all; each task has a row for each bucket at most."""
+    found = hashed.where("bucket is not null").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
     df = np.zeros((1 << p.bits) + 1, np.int64)
     for r in found:
         df[r.bucket] += r.n
     return df[:-1], int(df[-1])
 
 
-def _sparse(texts: pa.Array, idf: np.ndarray, p: Latent, whole: bool) -> list[tuple[np.ndarray, np.ndarray]]:
-    """TF-IDF rows of unit length: of whole texts, or of passages side by side."""
+def _sparse(texts: pa.Array, idf: np.ndarray, p: Latent) -> list[tuple[np.ndarray, np.ndarray]]:
+    """TF-IDF rows of unit length, of texts with words."""
     rows = []
     for _, data, offsets in text_blocks(texts):
         words, at = word_hashes(data, offsets, fold=True)
         b = _buckets(words, p)
-        for i in range(len(at) - 1):
-            step = max(1, at[i + 1] - at[i]) if whole else p.window
-            for k in range(at[i], at[i + 1], step):
-                ids, n = np.unique(b[k : min(k + step, at[i + 1])], return_counts=True)
-                x = n * idf[ids]
-                rows.append((ids, x / max(1e-9, np.sqrt((x * x).sum()))))
+        for i in np.flatnonzero(np.diff(at)):
+            ids, n = np.unique(b[at[i] : at[i + 1]], return_counts=True)
+            x = n * idf[ids]
+            rows.append((ids, x / max(1e-9, np.sqrt((x * x).sum()))))
     return rows
 
 
@@ -105,44 +137,86 @@ def _product(rows, right: np.ndarray) -> np.ndarray:
     return out
 
 
+def _row_sums(rows: np.ndarray, index: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Sums of rows[index] from each place in ``begin`` to the next: _WIDE rows at a time, then these sums in turn."""
+    size = np.diff(np.append(begin, len(index)))
+    while True:
+        n = -(-size // _WIDE)
+        first = np.cumsum(n) - n
+        total = int(n.sum())
+        place = np.full(total * _WIDE, len(rows), np.int64)
+        place[np.arange(len(index)) + np.repeat(first * _WIDE - begin, size)] = index
+        place = place.reshape(total, _WIDE)
+        rows = np.concatenate([rows, np.zeros((1, rows.shape[1]), rows.dtype)])  # for the places that are left
+        out = np.empty((total, rows.shape[1]), rows.dtype)
+        part = np.empty((_SUMS * _WIDE, rows.shape[1]), rows.dtype)
+        for k in range(0, total, _SUMS):
+            at = place[k : k + _SUMS].T
+            np.take(rows, at.ravel(), axis=0, out=part[: at.size], mode="clip")
+            np.sum(part[: at.size].reshape(*at.shape, -1), axis=0, out=out[k : k + _SUMS])
+        if total == len(size):
+            return out
+        rows, index, begin, size = out, np.arange(total), first, n
+
+
+def _passage_product(column: pa.Array, idf: np.ndarray, right: np.ndarray, p: Latent) -> np.ndarray:
+    """X' X right of the TF-IDF passages of unit length, for texts as hashed words."""
+    total = np.zeros(right.shape)
+    weighted = (right * idf[:, None]).astype(np.float32)
+    for _, data, offsets in text_blocks(column):
+        listed = data.view(_kind(p))
+        starts = _passages(offsets // listed.itemsize, p)
+        ends = np.append(starts, len(listed))
+        for k in range(0, len(starts), _PASSAGES):
+            begin = starts[k : k + _PASSAGES] - starts[k]
+            words = listed[starts[k] : ends[min(k + _PASSAGES, len(starts))]]
+            new = np.ones(len(words), bool)
+            new[1:] = words[1:] != words[:-1]
+            new[begin] = True
+            run = np.flatnonzero(new)
+            x = np.diff(np.append(run, len(words))) * idf[words[run]]
+            square = np.add.reduceat(x * x, np.searchsorted(run, begin)).astype(np.float32)
+            z = _row_sums(weighted, words, begin) / np.maximum(square, np.float32(1e-18))[:, None]
+            order = np.argsort(words, kind="stable")
+            words, passage = words[order], np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(words))))[order]
+            first = np.flatnonzero(np.diff(words.astype(np.int64), prepend=-1))
+            total[words[first]] += _row_sums(z, passage, first)
+    return (total * idf[:, None]).astype(np.float32)
+
+
 def _summed(parts: pd.DataFrame) -> pd.DataFrame:
     parts = parts.sort_values("z")  # sums do not depend on the order of arrival
     total = sum(np.frombuffer(z, np.float32).astype(np.float64) for z in parts["z"])
     return pd.DataFrame({"k": parts["k"].iloc[:1], "z": [total.tobytes()]})
 
 
-def latent_space(docs: DataFrame, items: pa.Array, idf: np.ndarray, p: Latent) -> np.ndarray:
-    """Right singular vectors (buckets x rank) of passages and items, by randomised subspace iteration."""
+def latent_space(hashed: DataFrame, n: int, items: pa.Array, idf: np.ndarray, p: Latent) -> np.ndarray:
+    """Right singular vectors (buckets x rank) of the passages of all ``n`` documents and of the items, by randomised subspace iteration."""
     rng = np.random.default_rng(p.seed)
     size = 1 << p.bits
-    own = [(i, 24 * x) for i, x in _sparse(items, idf, p, whole=True)]
-    # the sample's order is by hash of the id; four tasks share it
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    chosen = texts.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64(F.lit(8), "doc_id"), "doc_id").limit(p.sample)
-    sample = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("one"))  # one text of each id
-    sample = sample.select("one.text").repartition(4).persist()
+    own = [(i, 24 * x) for i, x in _sparse(items, idf, p)]
+    weight = min(1.0, p.sample / max(1, n))
+    # each task sends a matrix, so that their number goes by the cores and not by the table
+    passages = hashed.where("words is not null").select("words").coalesce(4 * hashed.sparkSession.sparkContext.defaultParallelism)
     basis = rng.standard_normal((size, p.rank + 8)).astype(np.float32)
-    try:
-        for _ in range(2):
-            basis, _ = np.linalg.qr(basis)
-            right = basis.astype(np.float32)
-
-            def part(batches, right=right):
-                total = None
-                for batch in batches:
-                    z = _product(_sparse(batch.column(0), idf, p, whole=False), right)
-                    total = z if total is None else total + z
-                if total is not None:
-                    cuts = [x.tobytes() for x in np.split(total, _CUTS)]
-                    yield pa.RecordBatch.from_arrays([pa.array(range(_CUTS), pa.int32()), pa.array(cuts, pa.binary())], ["k", "z"])
-
-            basis = _product(own, right).astype(np.float64)
-            summed = sample.mapInArrow(part, "k int, z binary").groupBy("k").applyInPandas(_summed, "k int, z binary")
-            rows = basis.reshape(_CUTS, -1)
-            for r in summed.collect():  # one matrix of a fixed size
-                rows[r.k] += np.frombuffer(r.z, np.float64)
-    finally:
-        sample.unpersist()
+    for _ in range(2):
+        basis, _ = np.linalg.qr(basis)
+        right = basis.astype(np.float32)
+
+        def part(batches, right=right):
+            total = None
+            for batch in batches:
+                z = _passage_product(batch.column(0), idf, right, p)
+                total = z if total is None else total + z
+            if total is not None:
+                cuts = [x.tobytes() for x in np.split(total, _CUTS)]
+                yield pa.RecordBatch.from_arrays([pa.array(range(_CUTS), pa.int32()), pa.array(cuts, pa.binary())], ["k", "z"])
+
+        basis = _product(own, right).astype(np.float64)
+        summed = passages.mapInArrow(tidy(part), "k int, z binary").groupBy("k").applyInPandas(_summed, "k int, z binary")
+        rows = basis.reshape(_CUTS, -1)
+        for r in summed.collect():  # one matrix of a fixed size
+            rows[r.k] += weight * np.frombuffer(r.z, np.float64)
     basis, _ = np.linalg.qr(basis)
     small = np.zeros((basis.shape[1],) * 2)
     for ids, x in own:
@@ -223,7 +297,7 @@ class RareWords:
 
 @dataclass
 class Index:
-    """Items in the latent space, and what a passage needs to be projected."""
+    """Items in the latent space, and what a passage needs to be projected; the last row of ``weights`` is of no word."""
 
     params: Latent
     weights: np.ndarray
@@ -250,7 +324,8 @@ class Index:
         for k in range(0, len(begin), _CHUNK):
             to = min(k + _CHUNK + 1, len(begin))  # one block more, for the last passage
             stop = int(begin[to]) if to < len(begin) else len(words)
-            part = np.add.reduceat(self.weights[b[begin[k] : stop]], begin[k:to] - begin[k], axis=0)
+            inside = np.arange(step)[:, None] < np.diff(np.append(begin[k:to], stop))
+            part = self.weights.take(np.where(inside, b[np.minimum(begin[k:to] + np.arange(step)[:, None], len(b) - 1)], len(self.weights) - 1), axis=0).sum(axis=0)
             norm, pair, same = square[k:to].copy(), part.copy(), doc[k + 1 : to] == doc[k : to - 1]
             pair[:-1][same] += part[1:][same]
             norm[:-1][same] += square[k + 1 : to][same]
@@ -327,10 +402,11 @@ def _indexes(docs: DataFrame, benchmark: DataFrame, p: Latent):
     rows = [r for r in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where(F.col("text").rlike(WORD)).orderBy("item_id", "text").toLocalIterator()]
     if not rows:
         return
-    df, n = document_frequencies(docs, p)
+    hashed = hashed_words(docs, p)
+    df, n = document_frequencies(hashed, p)
     idf = np.log((1.0 + n) / (1.0 + df)).astype(np.float32) + 0.01
     for k in range(0, len(rows), p.block):
-        yield docs.sparkSession.sparkContext.broadcast(build(docs, rows[k : k + p.block], idf, p))
+        yield docs.sparkSession.sparkContext.broadcast(build(hashed, n, rows[k : k + p.block], idf, p))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, params: Latent = Latent()) -> DataFrame:
@@ -371,16 +447,17 @@ def _without(handle, at: int):
     return run
 
 
-def build(docs: DataFrame, rows: list, idf: np.ndarray, p: Latent) -> Index:
+def build(hashed: DataFrame, n: int, rows: list, idf: np.ndarray, p: Latent) -> Index:
     column = pa.array([r[1] for r in rows], pa.string())
-    vectors = latent_space(docs, column, idf, p)
-    sparse = _sparse(column, idf, p, whole=True)
+    vectors = latent_space(hashed, n, column, idf, p)
+    sparse = _sparse(column, idf, p)
     items = np.stack([x @ vectors[ids] for ids, x in sparse]).astype(np.float32)
     words = []
     for _, data, offsets in text_blocks(column):
         h, at = word_hashes(data, offsets, fold=True)
         words += [h[at[i] : at[i + 1]].tolist() for i in range(len(at) - 1)]
-    return Index(p, vectors * idf[:, None], idf, items, words, [r[0] for r in rows], np.array([len(w) for w in words]), RareWords(words, idf, p))
+    weights = np.concatenate([vectors * idf[:, None], np.zeros((1, vectors.shape[1]), np.float32)])
+    return Index(p, weights, idf, items, words, [r[0] for r in rows], np.array([len(w) for w in words]), RareWords(words, idf, p))
 
 
 def _search(handle):
