@@ -309,6 +309,19 @@ def test_stage_decontamination_on_odd_rows(spark, corner):
     assert corpus_pipeline.drop_leaks(spark, make([]), folder).collect() == []
 
 
+def test_stage_decontamination_does_not_depend_on_a_sample(spark, documents, tmp_path):
+    """More rows than once made up the space, short items with a word changed: the same rows stay whatever the ids are."""
+    rng = random.Random(13)
+    words = [f"{a}{b}" for a in WORDS for b in WORDS]
+    items = [[rng.choice(words) for _ in range(7)] for _ in range(900)]
+    spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(60))) for _ in range(2600)]
+    texts += [" ".join([rng.choice(words) for _ in range(32)] * 400) for _ in range(24)]  # rows that shape the space
+    texts += [" ".join([rng.choice(words) for _ in range(rng.randrange(40))] + t[:3] + ["other"] + t[4:]) for t in items]
+    left = [{r.text for r in corpus_pipeline.drop_leaks(spark, documents([(i(k), t) for k, t in enumerate(texts)]).coalesce(1), str(tmp_path)).collect()} for i in (lambda k: k, lambda k: 7 * k + 9000)]
+    assert left[0] == left[1] and len(left[0]) < len(set(texts))
+
+
 def test_stage_mixing_on_odd_rows(spark, corner):
     folder, make, learn, _, rng = corner
     rows = learn + [(None, clean(rng, 50), "b") for _ in range(40)] + [(7, clean(rng, 50), None) for _ in range(40)] + [(8, "same old words " * 10, "b")] * 40 + [(9, None, "b")]
