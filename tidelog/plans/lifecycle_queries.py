@@ -14,7 +14,7 @@ from ..functions import scalars as S
 from ..operators import jobs
 from ..operators import maintenance as M
 from ..sources import recordbatch as R
-from ..sources.store import Conflict, Store, shared_dir
+from ..sources.store import Store, shared_dir
 from ..sources.table import ExportTable
 from ..sources.values import Field, avro_schema, decoded, encode_avro, encode_protobuf
 from .catalog import query
@@ -308,7 +308,7 @@ class _Log:
     def __init__(self, spark, sf_dir: str, kind: str):
         self.spark, self.kind = spark, kind
         self.store = Store(spark, _root(spark, kind))
-        self.jobs, self.now = jobs.JobStore(self.store), 0
+        self.jobs, self.refs, self.now = jobs.JobStore(self.store), jobs.Refs(self.store), 0
         rows = rel(spark, sf_dir, "ev_log").withColumn("epoch", F.expr("cast(record_offset div 300 AS int)"))
         rows.select("part", "epoch", "record_offset", "event_id").repartition("part", "epoch").write.partitionBy("part", "epoch").parquet(f"{self.store.root}/data")
         self.planned = _planned(spark, sf_dir, kind)
@@ -316,20 +316,10 @@ class _Log:
             self.swap(part, [], [job["data"] for job in self.planned if job["part"] == part])
 
     def folders(self, part: int) -> list[str]:
-        names = self.store.names(f"refs/{part}")
-        return self.store.read(f"refs/{part}/{names[-1]}")["folders"] if names else []
+        return self.refs.folders(part)
 
     def swap(self, part: int, gone: list[str], new: list[str]) -> None:
-        """The folders that readers see change in one step: a new version, created once; the loser reads again."""
-        while True:
-            version, old = len(self.store.names(f"refs/{part}")), self.folders(part)
-            now = [f for f in old if f not in gone and f not in new] + new
-            if now == old:
-                return
-            try:
-                return self.store.create(f"refs/{part}/{version + 1:08d}.json", {"folders": now})
-            except Conflict:
-                continue
+        self.refs.swap(part, gone, new)
 
     def tick(self) -> int:
         self.now += 1
