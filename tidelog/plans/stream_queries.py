@@ -6,16 +6,19 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..sources.store import shared_dir
+from ..sources.store import Store, shared_dir
 from ..sources.table import ExportTable
 from ..sources.values import Field
 from ..streaming import export, state
 from .catalog import query
 from .fixtures import relation as rel
+from .fixtures import relation_by_hours as rel_by_hours
 from .fixtures import with_clause as w
 
 _FIELDS = [Field("id", "int64", "$.id"), Field("kind", "string", "$.kind")]
 _GOOD = "event_id % 11 <> 0"
+#: Offsets of a partition that are dealt to one task.
+_BLOCK = 16384
 
 
 def _root(spark, name: str) -> str:
@@ -23,12 +26,21 @@ def _root(spark, name: str) -> str:
 
 
 def _log_files(spark, sf_dir, root: str):
-    """The emulated log as files, and a stream over them in several batches."""
+    """The emulated log as files, and a stream over them in two batches: offsets below the middle, then the others.
+
+    Tasks get blocks of offsets, so that none has a whole log partition. A stream takes files as they were written, so
+    many at a time; the later half has no more rows of any partition than the first, and goes into as many files at most.
+    """
     value = F.concat(F.lit('{"id":'), F.when(F.expr(_GOOD), F.col("event_id").cast("string")).otherwise('"x"'), F.lit(',"kind":"'), F.col("event_type"), F.lit('"}'))
-    rows = rel(spark, sf_dir, "ev_log").select("part", "record_offset", "record_timestamp", F.encode(F.col("user_id").cast("string"), "utf-8").alias("key"), F.encode(value, "utf-8").alias("value"), F.create_map(F.lit("t"), F.col("event_type")).alias("headers"))
-    rows.repartition(4, "part").sortWithinPartitions("part", "record_offset").write.mode("overwrite").parquet(f"{root}/log")
-    written = spark.read.parquet(f"{root}/log")
-    return spark.readStream.schema(written.schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/log")
+    rel_by_hours(spark, sf_dir, "ev_log").select("part", "record_offset", "record_timestamp", "event_id", "user_id", "event_type").write.parquet(f"{root}/rows")
+    numbered = spark.read.parquet(f"{root}/rows")
+    middle = (numbered.agg(F.max("record_offset")).first()[0] or 0) // 2 + 1
+    rows = numbered.select("part", "record_offset", "record_timestamp", F.encode(F.col("user_id").cast("string"), "utf-8").alias("key"), F.encode(value, "utf-8").alias("value"), F.create_map(F.lit("t"), F.col("event_type")).alias("headers"))
+    block = F.expr(f"record_offset div {_BLOCK}")
+    rows.where(F.col("record_offset") < middle).repartition("part", block).sortWithinPartitions("part", "record_offset").write.parquet(f"{root}/log")
+    files = len([n for n in Store(spark, root).names("log") if n.startswith("part-")])
+    rows.where(F.col("record_offset") >= middle).repartition(files, "part", block).sortWithinPartitions("part", "record_offset").write.mode("append").parquet(f"{root}/log")
+    return spark.readStream.schema(spark.read.parquet(f"{root}/log").schema).option("maxFilesPerTrigger", files).parquet(f"{root}/log")
 
 
 def _exported(spark, sf_dir, root: str, times: int = 1):
