@@ -128,12 +128,12 @@ _FOLD = w("sent", recursive=True) + ", o AS (SELECT *, row_number() OVER (PARTIT
 
 @query("stream_producer_state", _FOLD)
 def stream_producer_state(spark, sf_dir):
-    """Two files in arrival order, so state is carried from one batch to the next."""
+    """Two runs in arrival order, so state is carried from one batch to the next; files as the tasks write them."""
     root = _root(spark, "producers")
-    sent = rel(spark, sf_dir, "sent").withColumn("producer_id", F.col("producer_id").cast("long")).withColumn("arrival", F.col("arrival").cast("long"))
+    sent = rel_by_hours(spark, sf_dir, "sent").withColumn("producer_id", F.col("producer_id").cast("long")).withColumn("arrival", F.col("arrival").cast("long"))
     for k, rows in enumerate((sent.where("arrival < 8"), sent.where("arrival >= 8"))):
-        rows.coalesce(1).write.mode("append").parquet(f"{root}/in/{k}")
-    spark.read.parquet(f"{root}/in/0").coalesce(1).write.mode("append").parquet(f"{root}/feed")
+        rows.write.mode("append").parquet(f"{root}/in/{k}")
+    spark.read.parquet(f"{root}/in/0").write.mode("append").parquet(f"{root}/feed")
     out, done = f"{root}/out", f"{root}/checkpoint"
 
     def run():
@@ -141,7 +141,7 @@ def stream_producer_state(spark, sf_dir):
         verdicts.writeStream.outputMode("append").foreachBatch(lambda rows, n: rows.write.mode("overwrite").parquet(f"{out}/batch={n}")).option("checkpointLocation", done).trigger(availableNow=True).start().awaitTermination()
 
     run()
-    spark.read.parquet(f"{root}/in/1").coalesce(1).write.mode("append").parquet(f"{root}/feed")
+    spark.read.parquet(f"{root}/in/1").write.mode("append").parquet(f"{root}/feed")
     run()
     return spark.read.parquet(out).select("part", "producer_id", "arrival", "sequence", "verdict")
 
