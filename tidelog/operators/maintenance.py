@@ -236,11 +236,16 @@ class BrokenChain(ValueError):
     """A checkpoint names one before it that isn't there, or the chain comes back to itself."""
 
 
+#: Stands for a key that is named but isn't there.
+_LOST = -1
+
+
 def walk_chain(links: DataFrame, heads: DataFrame, folder: str) -> DataFrame:
     """Checkpoints that each partition's head reaches, with their distance from it.
 
     links: part, key, previous (null at the oldest); heads: part, key. Steps double each round, so that a chain of n
-    takes log2(n) rounds; each round's tables are written below ``folder``, a shared one. Fails on a broken chain.
+    takes log2(n) rounds, over numbers that stand for the keys; each round's tables are written below ``folder``, a shared
+    one. Fails on a broken chain.
     """
     spark = links.sparkSession
 
@@ -248,21 +253,30 @@ def walk_chain(links: DataFrame, heads: DataFrame, folder: str) -> DataFrame:
         df.write.mode("overwrite").parquet(f"{folder}/{name}")
         return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
-    jump = links.where("previous IS NOT NULL").select("part", "key", F.col("previous").alias("far"))
-    reached, steps, most = keep(heads.select("part", "key", F.lit(0).cast("long").alias("depth")), "reached-0"), 1, links.count()
+    links = keep(links.select("part", "key", "previous"), "links")
+    keys = keep(links.select("part", "key").distinct().withColumn("id", F.monotonically_increasing_id()), "keys")
+    before = keys.select("part", F.col("key").alias("previous"), F.col("id").alias("far"))
+    first = keep(links.where("previous IS NOT NULL").join(before, ["part", "previous"], "left").join(keys, ["part", "key"]).select("id", F.coalesce("far", F.lit(_LOST)).alias("far")), "jump-0")
+    started = heads.join(keys, ["part", "key"], "left").select("part", "key", "id")
+    lost = started.where("id IS NULL").limit(1).collect()
+    if lost:
+        raise BrokenChain(f"partition {lost[0].part}: checkpoint {lost[0].key} is missing")
+    reached, steps, most = keep(started.select("id", F.lit(0).cast("long").alias("depth")), "reached-0"), 1, links.count()
+    jump, n = first, reached.count()
     while True:
-        further = reached.join(jump, ["part", "key"]).select("part", F.col("far").alias("key"), (F.col("depth") + steps).alias("depth"))
+        further = reached.join(jump, "id").select(F.col("far").alias("id"), (F.col("depth") + steps).alias("depth"))
         reached_now = keep(reached.unionByName(further), f"reached-{steps}")
-        if further.isEmpty():
+        if (now := reached_now.count()) == n:
             break
         if steps > most:
             raise BrokenChain("a chain of checkpoints comes back to itself")
-        jump = keep(jump.alias("a").join(jump.alias("b"), F.expr("a.part = b.part AND a.far = b.key")).select("a.part", "a.key", "b.far"), f"jump-{steps}")
-        reached, steps = reached_now, steps * 2
-    lost = reached_now.join(links.select("part", "key"), ["part", "key"], "left_anti").limit(1).collect()
+        jump = keep(jump.alias("a").join(jump.alias("b"), F.expr("a.far = b.id")).select("a.id", "b.far"), f"jump-{steps}")
+        reached, n, steps = reached_now, now, steps * 2
+    lost = first.where(F.col("far") == _LOST).join(reached_now.select("id"), "id").limit(1)
+    lost = lost.join(keys, "id").join(links, ["part", "key"]).select("part", "previous").limit(1).collect()
     if lost:
-        raise BrokenChain(f"partition {lost[0].part}: checkpoint {lost[0].key} is missing")
-    return reached_now
+        raise BrokenChain(f"partition {lost[0].part}: checkpoint {lost[0].previous} is missing")
+    return reached_now.join(keys, "id").select("part", "key", "depth")
 
 
 def select_protocol(joins: DataFrame) -> DataFrame:
